@@ -3,12 +3,14 @@
 Training: words of labelled texts are counted by class, with their prefixes of 4 to 6 letters as back-off, each word once
 for each different word before it, so that copies of one text count once. Log-odds of a feature between the classes have
 an informative Dirichlet prior with the corpus's own distribution. A token's score is that of its most specific known
-feature, less DRIFT; unknown ones score -DRIFT, so that scores drift down outside toxic passages.
+feature, lowered by SURE standard deviations and by DRIFT; unknown ones score -DRIFT, so that scores drift down outside
+toxic passages and rare features need more evidence.
 
 Scoring: all maximal scoring segments of a text are found in one linear pass. Chance maxima of random sequences follow an
 extreme-value law; the expected number of chance segments, E = K * words * exp(-lambda * segment score), is what a segment's
-significance is measured by (those with E < E_MAX are reported). A logistic fit on the training rows turns
--log E of the best segment into a score from 0 to 1.
+significance is measured by (those with E < E_MAX are reported). The r best segments of a text together have
+E = exp(-s) s^(r-1) / (r! (r-1)!) with s the sum of lambda * score - log(K * words); the least E over r is the text's, and a
+logistic fit on the training rows turns -log E into a score from 0 to 1.
 
 Edge cases: null and wordless texts have no segment and get the score of a text without positive tokens; rows with a null
 id or label aren't learned from; without labels of both classes every score is 0; repeated rows count once in training
@@ -29,17 +31,20 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import crc_mod, let, near_share
 
-#: Labelled rows learned from per class, about; strength of the prior in tokens; least count of a feature; fall per token.
-ROWS_PER_CLASS, PRIOR, LEAST, DRIFT = 3000, 1000.0, 4, 1.0
+#: Labelled rows learned from per class, about; strength of the prior as a share of the tokens; least count of a feature;
+#: fall per token; standard deviations taken off.
+ROWS_PER_CLASS, PRIOR, LEAST, DRIFT, SURE = 2500, 0.1, 4, 1.0, 1.64
 #: Most features in the broadcast model (about 100 bytes each); reported segments have fewer chance copies expected.
 MOST_FEATURES, E_MAX = 200_000, 0.01
+#: Segments in the sum (the r best decide; more add no more than -log E = MOST, where the fit is flat).
+R_MOST, MOST = 64, 40.0
 #: Score from which a text is called toxic.
 CUT = 0.3
 PREFIXES = (6, 5, 4)
 #: The same words for Spark's regular expressions.
 WORD = r"[\p{L}\p{M}]+"
 _SPLIT = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-SEGMENTS = "struct<n_words:bigint,best:double,segments:array<struct<a:int,b:int,s:double>>>"
+SEGMENTS = "struct<n_words:bigint,surprise:double,segments:array<struct<a:int,b:int,s:double>>>"
 
 
 def tokens(text: str) -> list[str]:
@@ -61,12 +66,14 @@ class Model:
                 return s - DRIFT
         return -DRIFT
 
-    def surprise(self, best: float, n: int) -> float:
-        """-log of the expected number of chance segments that score so much among n words; 0 at least."""
-        return max(0.0, self.lam * best - math.log(self.k * max(n, 1))) if best > 0 else 0.0
-
-    def probability(self, best: float, n: int) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.a * min(self.surprise(best, n), 30.0) + self.b))))
+    def surprise(self, scores: list[float], n: int) -> float:
+        """-log E of the scores of a text's segments among n words; from 0 to MOST."""
+        one, best, total = math.log(self.k * max(n, 1)), 0.0, 0.0
+        for r, x in enumerate(sorted(scores, reverse=True)[:R_MOST], 1):
+            total += self.lam * x - one
+            if total > 0:
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+        return min(best, MOST)
 
 
 class Scores(dict):
@@ -134,15 +141,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     try:
         near = let(_words(F.col("text")), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("w"), F.when(i > 0, F.get(w, i - 1)).alias("p"))))
         pairs = rows.select("y", F.explode(near).alias("z")).select("y", "z.w", "z.p").distinct()
-        word = pairs.groupBy("w").agg(F.sum("y").alias("n1"), F.count("*").alias("n")).select("w", "n1", (F.col("n") - F.col("n1")).alias("n0"))
+        word = pairs.groupBy("w").agg(F.sum("y").cast("double").alias("n1"), F.sum(1 - F.col("y")).cast("double").alias("n0"))
         feats = word.select(F.explode(F.array(F.col("w"), *(F.when(F.length("w") >= k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES))).alias("f"), "n1", "n0")
-        feats = feats.filter(F.col("f").isNotNull()).groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).filter(F.col("n1") + F.col("n0") >= LEAST)
-        n1, n0 = (int(x or 0) for x in word.agg(F.sum("n1"), F.sum("n0")).first())
+        feats = feats.filter(F.col("f").isNotNull()).groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        feats = feats.filter(F.col("n1") + F.col("n0") >= LEAST).persist()
+        n1, n0 = (x or 0.0 for x in feats.filter(~F.endswith("f", F.lit("*"))).agg(F.sum("n1"), F.sum("n0")).first())
         if not n1 or not n0:
             return Model()
-        prior = F.lit(PRIOR) * (F.col("n1") + F.col("n0")) / (n1 + n0)
-        odds = lambda n, all_n: F.log((F.col(n) + prior) / (F.lit(all_n + PRIOR) - F.col(n) - prior))
-        feats = feats.select("f", (odds("n1", n1) - odds("n0", n0)).alias("s"), (F.col("n1") + F.col("n0")).alias("n"))
+        a = F.lit(PRIOR) * (F.col("n1") + F.col("n0"))
+        a0 = PRIOR * (n1 + n0)
+        odds = F.log((F.col("n1") + a) / (n1 + a0 - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0 + a0 - F.col("n0") - a))
+        deviation = F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
+        feats = feats.select("f", (odds - SURE * deviation).alias("s"), (F.col("n1") + F.col("n0")).alias("n"))
         high = feats.filter(F.col("s") > DRIFT).orderBy(F.desc("n"), "f").limit(MOST_FEATURES)
         m = Model({r.f: r.s for r in high.collect()})
         # a more specific feature that isn't toxic hides the toxic prefix of its word
@@ -151,19 +161,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             low = feats.filter(F.col("s") <= DRIFT).withColumn("g", F.explode(F.array(*(F.concat(F.substring("f", 1, k), F.lit("*")) for k in PREFIXES)))).filter(F.col("g") != F.col("f"))
             low = low.join(F.broadcast(rows.sparkSession.createDataFrame([(f,) for f in starts], "g string")), "g", "left_semi")
             m.odds.update({r.f: r.s for r in low.select("f", "s", "n").distinct().orderBy(F.desc("n"), "f").limit(MOST_FEATURES).collect()})
-        return calibrate(m, [(r.y, r.h.n_words, r.h.best) for r in rows.select("y", scan(rows.sparkSession, m, F.col("text")).alias("h")).collect()])
+        seen = rows.select("y", scan(rows.sparkSession, m, F.col("text"), all_segments=True).alias("h")).select("y", "h.n_words", F.transform("h.segments", lambda x: x["s"]).alias("s"))
+        return calibrate(m, [(r.y, r.n_words, r.s) for r in seen.toLocalIterator()])
     finally:
         rows.unpersist()
 
 
-def calibrate(m: Model, seen: list[tuple[int, int, float]]) -> Model:
-    """Extreme-value parameters from the clean rows and a logistic fit on all; seen: (label, words, best segment)."""
+def calibrate(m: Model, seen: list[tuple[int, int, list[float]]]) -> Model:
+    """Extreme-value parameters from the clean rows and a logistic fit on all; seen: (label, words, segment scores)."""
     clean = [(n, s) for y, n, s in seen if not y and n]
-    chance = np.array([s for _, s in clean if s > 0])
-    m.lam = 1.0 / max(0.25, float(chance.mean())) if len(chance) else 1.0
+    chance = [x for _, s in clean for x in s]
+    m.lam = 1.0 / max(0.25, sum(chance) / len(chance)) if chance else 1.0
     # K so that the expected number of chance segments over the clean rows is that observed
-    m.k = max(1e-6, (len(chance) + 1) / max(1, sum(n for n, _ in clean)))
-    x = np.array([min(m.surprise(s, n), 30.0) for _, n, s in seen])
+    m.k = (len(chance) + 1) / max(1, sum(n for n, _ in clean))
+    x = np.array([m.surprise(s, n) for _, n, s in seen])
     y = np.array([float(v) for v, _, _ in seen])
     w = np.zeros(2)
     f = np.stack([x, np.ones_like(x)], 1)
@@ -179,10 +190,10 @@ def calibrate(m: Model, seen: list[tuple[int, int, float]]) -> Model:
     return m
 
 
-def scan(spark: SparkSession, model: Model, text: Column) -> Column:
-    """A struct column: words of the text, score of its best segment, and its significant segments (in words)."""
+def scan(spark: SparkSession, model: Model, text: Column, all_segments: bool = False) -> Column:
+    """A struct column: words of the text, its surprise, and its significant (or all) segments, in words."""
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("n_words", pa.int64()), ("best", pa.float64()), ("segments", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("s", pa.float64())])))])
+    kind = pa.struct([("n_words", pa.int64()), ("surprise", pa.float64()), ("segments", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("s", pa.float64())])))])
 
     @F.arrow_udf(SEGMENTS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -193,18 +204,16 @@ def scan(spark: SparkSession, model: Model, text: Column) -> Column:
             for t in texts:
                 ws = tokens(t.as_py() or "")
                 found = segments(np.fromiter(map(get, ws), np.float64, len(ws)))
-                least = -math.log(E_MAX)
-                out.append({"n_words": len(ws), "best": max((s for _, _, s in found), default=0.0), "segments": [{"a": a, "b": b, "s": s} for a, b, s in found if m.surprise(s, len(ws)) > least]})
+                told = [{"a": a, "b": b, "s": s} for a, b, s in found if all_segments or m.surprise([s], len(ws)) > -math.log(E_MAX)]
+                out.append({"n_words": len(ws), "surprise": m.surprise([s for _, _, s in found], len(ws)), "segments": told})
             yield pa.array(out, kind)
 
     return find(text)
 
 
-def probability(model: Model, best: Column, n_words: Column) -> Column:
-    """The calibrated score as an expression on what scan gives."""
-    n = F.greatest(n_words, F.lit(1)).cast("double")
-    x = F.when(best > 0, F.least(F.lit(30.0), F.greatest(F.lit(0.0), F.lit(model.lam) * best - F.log(F.lit(model.k) * n)))).otherwise(0.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(model.a) * x + F.lit(model.b)))))
+def probability(model: Model, surprise: Column) -> Column:
+    """The calibrated score as an expression on a text's surprise."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.a) * surprise + F.lit(model.b))))
 
 
 def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,5 +221,5 @@ def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     m = fit(docs.filter(~held_out), labels.filter(~held_out))
     d = docs.select("doc_id", held_out.alias("held_out"), scan(spark, m, F.col("text")).alias("h"))
-    d = d.select("doc_id", "held_out", probability(m, F.col("h.best"), F.col("h.n_words")).alias("score"), F.size("h.segments").alias("n_segments"))
+    d = d.select("doc_id", "held_out", probability(m, F.col("h.surprise")).alias("score"), F.size("h.segments").alias("n_segments"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "n_segments")
