@@ -15,7 +15,7 @@ from terrafold.config import rim_r, stencil_k
 from terrafold.functions.sensor import variance_cm2
 
 TAN = math.tan(math.radians(T["theta_max_deg"]))
-AXES = {"e": (1, 0), "w": (-1, 0), "n": (0, 1), "s": (0, -1)}
+AXES = {"east": (1, 0), "west": (-1, 0), "north": (0, 1), "south": (0, -1)}
 #: Directions by octant, anticlockwise from +x: (dx, dy).
 OCTANTS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 KEY = ["tile", "ix", "iy"]
@@ -43,10 +43,10 @@ def axes(cells: DataFrame, k: int, cols: list[str]) -> DataFrame:
 def differences(cell_m: float, k: int) -> tuple[Column, Column, Column, Column]:
     """(dz/dx, dz/dy, largest step in cm, all seen); at the edge the stencil is clipped to the cell itself and its true span used (STN2)."""
     z = lambda c: F.coalesce(F.col(f"{c}.ground_cm"), F.col("ground_cm"))
-    span_x = F.when(F.col("e").isNotNull(), k).otherwise(0) + F.when(F.col("w").isNotNull(), k).otherwise(0)
-    span_y = F.when(F.col("n").isNotNull(), k).otherwise(0) + F.when(F.col("s").isNotNull(), k).otherwise(0)
-    dx = F.when(span_x > 0, (z("e") - z("w")) / 100.0 / (span_x * F.lit(cell_m))).otherwise(0.0)
-    dy = F.when(span_y > 0, (z("n") - z("s")) / 100.0 / (span_y * F.lit(cell_m))).otherwise(0.0)
+    span_x = F.when(F.col("east").isNotNull(), k).otherwise(0) + F.when(F.col("west").isNotNull(), k).otherwise(0)
+    span_y = F.when(F.col("north").isNotNull(), k).otherwise(0) + F.when(F.col("south").isNotNull(), k).otherwise(0)
+    dx = F.when(span_x > 0, (z("east") - z("west")) / 100.0 / (span_x * F.lit(cell_m))).otherwise(0.0)
+    dy = F.when(span_y > 0, (z("north") - z("south")) / 100.0 / (span_y * F.lit(cell_m))).otherwise(0.0)
     step = F.greatest(*(F.abs(z(c) - F.col("ground_cm")) for c in AXES))
     seen = F.least("obs", *(F.coalesce(F.col(f"{c}.obs"), F.col("obs")) for c in AXES)) >= 1
     return dx, dy, step, seen
@@ -106,8 +106,8 @@ def kerbs(cells: DataFrame, side: int, cell_m: float) -> DataFrame:
     ok = (F.col("n") >= 1) & (F.col("flags").bitwiseAND(4) == 0)
     g = axes(cells.select(*KEY, "ground_cm", ok.alias("ok")), k, ["ground_cm", "ok"])
     inner = F.col("ix").between(k, side - 1 - k) & F.col("iy").between(k, side - 1 - k)
-    g = g.filter(F.col("ok") & F.col("e.ok") & F.col("w.ok") & F.col("n.ok") & F.col("s.ok") & inner)
-    g = g.select(*KEY, (F.col("e.ground_cm") - F.col("w.ground_cm")).alias("dx"), (F.col("n.ground_cm") - F.col("s.ground_cm")).alias("dy"))
+    g = g.filter(F.col("ok") & F.col("east.ok") & F.col("west.ok") & F.col("north.ok") & F.col("south.ok") & inner)
+    g = g.select(*KEY, (F.col("east.ground_cm") - F.col("west.ground_cm")).alias("dx"), (F.col("north.ground_cm") - F.col("south.ground_cm")).alias("dy"))
     g = g.withColumn("rise2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).filter(F.col("rise2").between(T["curb_min_cm"] ** 2, T["curb_max_cm"] ** 2))
     g = g.withColumn("octant", F.pmod(F.rint(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) / (math.pi / 4)).cast("int"), F.lit(8)))
     turn = F.get(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in OCTANTS)), F.pmod(F.col("octant") + 2, F.lit(8)))
