@@ -1,0 +1,175 @@
+"""Queries on the range image and on poses: projection, reflectivity, motion, visibility, transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from terrafold.functions import sensor
+from terrafold.operators import fold, image, tracks
+from terrafold.operators.scatter import moving
+from terrafold.plans import oracle as O
+from terrafold.plans.queries_lattice import metres
+from terrafold.plans.registry import binned, points, register, state
+
+PHI = "radians(2e0)"
+DPHI = "((radians(2e0) - radians(CAST('-24.8' AS DOUBLE))) / 64)"
+
+
+def pix(x: str, y: str, z: str) -> str:
+    r = f"sqrt({x} * {x} + {y} * {y} + {z} * {z})"
+    return f"""{r} AS r, CAST(floor((atan2({y}, {x}) + pi()) / (2 * pi() / 512)) AS INT) % 512 AS u, CAST(floor(({PHI} - asin(greatest(-1e0, least(1e0, {z} / {r})))) / {DPHI}) AS INT) AS v_raw"""
+
+
+#: Points seen from the sensor: the vehicle's height taken off, over a narrower spread of heights than the map's.
+SENSED = f"""{O.PTS}, sp AS (SELECT frame, point_id, xv_mm / 1000e0 AS x, yv_mm / 1000e0 AS y, z_cm / 1000e0 - CAST('1.73' AS DOUBLE) AS z, refl, raw_label FROM pts),
+pp AS (SELECT *, {pix('x', 'y', 'z')} FROM sp), pv AS (SELECT *, greatest(0, least(63, v_raw)) AS v FROM pp),
+img AS (SELECT frame, v, u, r, point_id, x, y, z, refl, raw_label FROM (SELECT *, row_number() OVER (PARTITION BY frame, v, u ORDER BY r, point_id) AS k FROM pv WHERE r > 1e-6) WHERE k = 1)"""
+
+
+def sensed(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return p.select("frame", "point_id", (F.col("xv_mm") / 1000.0).alias("x"), (F.col("yv_mm") / 1000.0).alias("y"), (F.col("z_cm") / 1000.0 - 1.73).alias("z"), "refl", "raw_label")
+
+
+def projected(spark, sf_dir):
+    return image.project(sensed(spark, sf_dir), ["x", "y", "z", "refl", "raw_label"])
+
+
+@register(f"WITH {SENSED} SELECT frame, point_id, u, v_raw, round(r, 6) AS r FROM pv")
+def tx06_pixel(spark, sf_dir):
+    return image.with_pixel(sensed(spark, sf_dir)).select("frame", "point_id", "u", "v_raw", F.round("r", 6).alias("r"))
+
+
+@register(f"WITH {SENSED} SELECT frame, v, u, round(r, 6) AS r, point_id FROM img")
+def agg06_range_image(spark, sf_dir):
+    """Nearest return of each pixel (AGG6)."""
+    return projected(spark, sf_dir).select("frame", "v", "u", F.round("r", 6).alias("r"), "point_id")
+
+
+@register(f"""WITH {SENSED} SELECT frame, count(*) AS n_input, count(*) FILTER (r <= 1e-6) AS n_zero_range, count(*) FILTER (r > 1e-6 AND v_raw < 0) AS n_clamped_above,
+ count(*) FILTER (r > 1e-6 AND v_raw >= 64) AS n_clamped_below, count(DISTINCT v * 512 + u) AS n_filled FROM pv GROUP BY frame""")
+def agg07_projection_stats(spark, sf_dir):
+    return image.projection_stats(sensed(spark, sf_dir))
+
+
+INCIDENCE = f"""{SENSED}, inc AS (
+ SELECT c.frame AS frame, c.v AS v, c.u AS u, c.r AS r, c.refl AS refl, c.x AS x, c.y AS y, c.z AS z,
+   (e.y - w.y) * (s.z - n.z) - (e.z - w.z) * (s.y - n.y) AS nx, (e.z - w.z) * (s.x - n.x) - (e.x - w.x) * (s.z - n.z) AS ny, (e.x - w.x) * (s.y - n.y) - (e.y - w.y) * (s.x - n.x) AS nz
+ FROM img c LEFT JOIN img e ON e.frame = c.frame AND e.v = c.v AND e.u = (c.u + 1) % 512 LEFT JOIN img w ON w.frame = c.frame AND w.v = c.v AND w.u = (c.u + 511) % 512
+ LEFT JOIN img s ON s.frame = c.frame AND s.v = c.v + 1 AND s.u = c.u LEFT JOIN img n ON n.frame = c.frame AND n.v = c.v - 1 AND n.u = c.u),
+co AS (SELECT *, CASE WHEN sqrt(nx * nx + ny * ny + nz * nz) > 1e-6 AND r > 1e-6 THEN abs((nx * x + ny * y + nz * z) / (sqrt(nx * nx + ny * ny + nz * nz) * r)) END AS cos_inc FROM inc)"""
+
+
+@register(f"WITH {INCIDENCE} SELECT frame, v, u, round(cos_inc, 6) AS cos_inc FROM co")
+def stn06_incidence(spark, sf_dir):
+    return image.incidence(projected(spark, sf_dir)).select("frame", "v", "u", F.round("cos_inc", 6).alias("cos_inc"))
+
+
+@register(f"""WITH {INCIDENCE} SELECT frame, v, u, CAST(greatest(0e0, least(255e0, round_even(refl / 256e0 * 255e0, 0))) AS INT) AS rho8, CASE WHEN cos_inc IS NULL THEN 2 WHEN cos_inc < 0.1 THEN 1 ELSE 0 END AS rho_flags FROM co""")
+def stn07_reflectivity(spark, sf_dir):
+    """Reflectivity byte and flags per pixel (STN7)."""
+    i = image.incidence(projected(spark, sf_dir))
+    return image.reflectivity(i, F.col("refl") / 256.0).select("frame", "v", "u", "rho8", "rho_flags")
+
+
+@register(f"""WITH {SENSED}, w AS (SELECT frame, point_id, x - CAST('0.4' AS DOUBLE) AS x, y, z FROM sp), wp AS (SELECT *, {pix('x', 'y', 'z')} FROM w),
+pr AS (SELECT frame + 1 AS frame, greatest(0, least(63, v_raw)) AS v, u, min(r) AS pred FROM wp WHERE r > 1e-6 GROUP BY ALL)
+SELECT c.frame AS frame, c.v AS v, c.u AS u, round(abs(c.r - pred), 6) AS residual, abs(c.r - pred) > 0.75 AS moving FROM img c JOIN pr ON pr.frame = c.frame AND pr.v = c.v AND pr.u = c.u WHERE c.r >= 2""")
+def stn10_residual_motion(spark, sf_dir):
+    """Range residuals against the frame before, moved by the vehicle's step (STN10, JN8, TX4)."""
+    p = sensed(spark, sf_dir)
+    warped = image.project(p.withColumn("x", F.col("x") - 0.4), ["x"])
+    m = image.residual_motion(projected(spark, sf_dir), warped)
+    return m.select("frame", "v", "u", F.round("residual", 6).alias("residual"), "moving")
+
+
+@register(f"""WITH {SENSED}, gaps AS (SELECT a.frame AS frame, a.v AS v, a.u + 1 AS u, (a.r + b.r) / 2 AS r FROM img a JOIN img b ON b.frame = a.frame AND b.v = a.v AND b.u = a.u + 2
+  LEFT JOIN img c ON c.frame = a.frame AND c.v = a.v AND c.u = a.u + 1 WHERE c.frame IS NULL)
+SELECT frame, v, u, round(r, 6) AS r, false AS filled FROM img UNION ALL SELECT frame, v, u, round(r, 6), true FROM gaps""")
+def stn11_fill_gaps(spark, sf_dir):
+    """The image with one-pixel gaps filled (STN11)."""
+    return image.fill_gaps(projected(spark, sf_dir)).withColumn("r", F.round("r", 6))
+
+
+VIS = f"""{O.FOLD}, {SENSED[len(O.PTS) + 2:]},
+cand AS (SELECT 6 AS frame, ring, ix, iy, ((ix + 0.5e0) * (0.05e0 * (1 << ring))) - 2.4e0 AS x, (iy + 0.5e0) * (0.05e0 * (1 << ring)) AS y, CASE WHEN ceil < 32767 THEN ceil ELSE mu END / 1000e0 - CAST('1.73' AS DOUBLE) AS z, odds FROM state WHERE {O.OCC} = 2),
+cp AS (SELECT *, {pix('x', 'y', 'z')} FROM cand),
+touched AS (SELECT DISTINCT ring, ix, iy FROM binned WHERE frame = 6),
+j AS (SELECT cp.*, v_raw BETWEEN 0 AND 63 AS in_view, img.r AS observed, t.ring IS NOT NULL AS touched FROM cp LEFT JOIN img ON img.frame = 6 AND img.v = cp.v_raw AND img.u = cp.u LEFT JOIN touched t ON t.ring = cp.ring AND t.ix = cp.ix AND t.iy = cp.iy),
+th AS (SELECT *, coalesce(in_view AND observed > r + greatest(3e0 * sqrt({O.variance('r')}) / 100, CAST('0.3' AS DOUBLE)), false) AS far FROM j)"""
+
+
+def seen(spark, sf_dir):
+    s = state(spark, sf_dir).withColumn("occ", fold.occupancy(F.col("n"), F.col("odds"))).filter("occ = 2")
+    size = F.lit(0.05) * F.expr("shiftleft(1, ring)")
+    z = F.when(F.col("ceil") < 32767, F.col("ceil")).otherwise(F.col("mu")) / 1000.0
+    c = s.select(F.lit(6).alias("frame"), "ring", "ix", "iy", ((F.col("ix") + 0.5) * size - 2.4).alias("x"), ((F.col("iy") + 0.5) * size).alias("y"), z.alias("z"), "odds")
+    touched = binned(spark, sf_dir).filter("frame = 6")
+    return image.see_through(c, projected(spark, sf_dir).filter("frame = 6"), touched)
+
+
+@register(f"WITH {VIS} SELECT ring, ix, iy, far AND NOT touched AS through, far AND touched AS protected, CAST(CASE WHEN far AND NOT touched THEN greatest(odds - 2, -64) ELSE odds END AS INT) AS odds FROM th")
+def st08_visibility(spark, sf_dir):
+    """Occupied cells that the last frame sees through, protected ones, and log-odds after the misses (ST7-9, JN5, JN6)."""
+    c = seen(spark, sf_dir)
+    return c.select("ring", "ix", "iy", "through", "protected", F.when(F.col("through"), fold.miss(F.col("odds"))).otherwise(F.col("odds")).cast("int").alias("odds"))
+
+
+@register(f"WITH {VIS} SELECT count(*) AS tested, count(*) FILTER (NOT in_view) AS out_of_view, count(*) FILTER (far AND touched) AS protected, count(*) FILTER (far AND NOT touched) AS cleared FROM th")
+def st09_cleanup_counts(spark, sf_dir):
+    c = seen(spark, sf_dir)
+    return c.agg(F.count("*").alias("tested"), F.count_if(~F.col("in_view")).alias("out_of_view"), F.count_if(F.col("protected")).alias("protected"), F.count_if(F.col("through")).alias("cleared"))
+
+
+POSES = "po AS (SELECT CAST(f AS INT) AS frame, cos(f / 20e0) AS c, sin(f / 20e0) AS s, f * 4e-1 AS tx, f * 1e-1 AS ty FROM (SELECT unnest(range(0, 7)) AS f))"
+
+
+@register(f"""WITH {O.PTS}, {POSES}, m AS (SELECT frame, point_id, xv_mm / 1000e0 AS x, yv_mm / 1000e0 AS y, z_cm / 100e0 AS z FROM pts)
+SELECT frame, point_id, round(c * x - s * y + tx, 6) AS xw, round(s * x + c * y + ty, 6) AS yw, round(z + CAST('1.73' AS DOUBLE), 6) AS zw FROM m JOIN po USING (frame)""")
+def tx01_transform(spark, sf_dir):
+    """Points by their frame's pose, raised by the sensor's height (TX1-3, JN1); poses are a few rows a frame."""
+    f = spark.range(7).select(F.col("id").cast("int").alias("frame"), F.col("id").cast("double").alias("f"))
+    po = f.select("frame", F.cos(F.col("f") / 20).alias("c"), F.sin(F.col("f") / 20).alias("s"), (F.col("f") * 0.4).alias("tx"), (F.col("f") * 0.1).alias("ty"))
+    m = metres(spark, sf_dir).join(F.broadcast(po), "frame")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    return m.select("frame", "point_id", F.round(F.col("c") * x - F.col("s") * y + F.col("tx"), 6).alias("xw"), F.round(F.col("s") * x + F.col("c") * y + F.col("ty"), 6).alias("yw"), F.round(z + 1.73, 6).alias("zw"))
+
+
+@register(f"""WITH {POSES}, l AS (SELECT *, lag(tx) OVER (ORDER BY frame) AS px, lag(ty) OVER (ORDER BY frame) AS py, lag(c) OVER (ORDER BY frame) AS pc, lag(s) OVER (ORDER BY frame) AS ps FROM po)
+SELECT frame, round(sqrt((tx - px) * (tx - px) + (ty - py) * (ty - py)) / 1e-1, 6) AS speed_ms, round(pc * c + ps * s, 6) AS cos_rel, round(c * (px - tx) + s * (py - ty), 6) AS dx, round(-s * (px - tx) + c * (py - ty), 6) AS dy FROM l WHERE px IS NOT NULL""")
+def wf03_relative_pose(spark, sf_dir):
+    """Speed and transform between successive poses of a sequence (TX4, WF3); one row a frame, per sequence."""
+    f = spark.range(7).select(F.lit(0).alias("seq"), F.col("id").cast("int").alias("frame"), F.col("id").cast("double").alias("f"))
+    po = f.select("seq", "frame", F.cos(F.col("f") / 20).alias("c"), F.sin(F.col("f") / 20).alias("s"), (F.col("f") * 0.4).alias("tx"), (F.col("f") * 0.1).alias("ty"))
+    w = Window.partitionBy("seq").orderBy("frame")
+    po = po.select("*", *(F.lag(c).over(w).alias(n) for c, n in (("tx", "px"), ("ty", "py"), ("c", "pc"), ("s", "ps")))).filter("px IS NOT NULL")
+    dx, dy = F.col("px") - F.col("tx"), F.col("py") - F.col("ty")
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return po.select("frame", r(F.sqrt(dx * dx + dy * dy) / 0.1, "speed_ms"), r(F.col("pc") * F.col("c") + F.col("ps") * F.col("s"), "cos_rel"), r(F.col("c") * dx + F.col("s") * dy, "dx"), r(-F.col("s") * dx + F.col("c") * dy, "dy"))
+
+
+@register()
+def agg13_instances(spark, sf_dir):
+    """Connected moving pixels of each frame (AGG13, SRT3); sequential inside an image."""
+    return tracks.instances(projected(spark, sf_dir).filter(moving(F.col("raw_label"))).select("frame", "v", "u", "r", "x", "y", "z"), tolerance_m=5.0, least=2)
+
+
+@register()
+def st12_tracks(spark, sf_dir):
+    """Tracks of moving clusters over the frames (ST12, ST13); sequential inside a sequence."""
+    from terrafold.operators.scatter import cluster
+
+    c = cluster(points(spark, sf_dir).filter(moving(F.col("raw_label")) & (F.abs("xv_mm") < 20000) & (F.abs("yv_mm") < 20000)))
+    d = c.select(F.lit(0).alias("seq"), "frame", (F.col("sx") / F.col("n") / 1000).alias("x_m"), (F.col("sy") / F.col("n") / 1000).alias("y_m"), F.col("cls").cast("int").alias("cls"))
+    return tracks.track(d)
+
+
+@register()
+def st14_pool(spark, sf_dir):
+    """Refinement blocks held at the end (ST14, ST15): requests scored per frame, the pool bounded."""
+    b = binned(spark, sf_dir).filter("ring >= 1 AND cls IN (1, 2, 5, 6, 7, 17, 18)").select("frame", "ring", "ix", "iy").distinct()
+    size = F.lit(0.05) * F.expr("shiftleft(1, ring)")
+    x, y = (F.col("ix") + 0.5) * size, (F.col("iy") + 0.5) * size
+    score = sensor.priority(F.sqrt(x * x + y * y), F.lit(False), sensor.time_to_collision(x, F.lit(4.0)))
+    return tracks.pool(b.select(F.lit(0).alias("seq"), "frame", "ring", "ix", "iy", score.alias("score")))
