@@ -30,7 +30,7 @@ def _files(spark: SparkSession, folder: str, glob: str, start: int, most: int |
 
 
 def scans(spark: SparkSession, folder: str, start: int = 0, most: int | None = None) -> DataFrame:
-    """Points of float32 records x, y, z, intensity; the ordinal is the point's id."""
+    """Points of float32 records x, y, z, intensity; the ordinal is the point's id. A file without bytes is no frame."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
