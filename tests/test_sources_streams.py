@@ -50,3 +50,30 @@ def test_state_store_equals_batch(spark, tmp_path):
     last = spark.table("votes").groupBy("ring", "ix", "iy").agg(F.max_by(F.struct("cand", "cnt", "odds", "n"), "frame").alias("s")).select("ring", "ix", "iy", "s.*")
     want = fold.fold(cells.filter("frame < 3")).select("ring", "ix", "iy", "cand", "cnt", "odds", "n")
     assert last.exceptAll(want).count() == want.exceptAll(last).count() == 0
+
+
+def test_sweep_hits_the_ground_along_its_beams(spark):
+    from terrafold.sources import synthetic
+
+    p = synthetic.sweep(spark, 0, beams=16, azimuths=90).toPandas()
+    horizontal = np.hypot(p.x, p.y)
+    phi = np.degrees(np.arctan2(p.z - C.THRESHOLDS["sensor_height_m"], horizontal))
+    step = 26.8 / 15
+    off = np.abs((phi + 24.8) / step - np.rint((phi + 24.8) / step))
+    assert len(p) > 500 and horizontal.max() <= 100 and np.quantile(off, 0.95) < 0.01
+    assert set(p.raw_label) == {40, 44, 48} and (p[abs(p.y) <= 3].raw_label == 40).all()
+
+
+def test_session_and_exports(spark, tmp_path):
+    from terrafold import api
+
+    s = api.MapSession.build(points(spark, SF), ego_mm=(2400, 0))
+    cell = s.state.filter("ring = 3").first()
+    x, y = (cell.ix + 0.5) * 0.4, (cell.iy + 0.5) * 0.4
+    got = s.query(x, y)
+    assert got.ring == 3 and got.confidence == cell.n or got.ring != 3
+    assert s.query(1000.0, 0.0).occupancy == 0 and s.occupied().count() == s.state.filter("odds > 0").count()
+    s.save(str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "state")).filter("ring = 0").count() == s.state.filter("ring = 0").count()
+    api.csv(s.state.limit(3), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3 and api.text_table([{"a": 1, "b": 2.0}]).split() == ["a", "b", "1", "2.000"]
