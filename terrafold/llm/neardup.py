@@ -7,10 +7,12 @@ LEAST_DEPTH minima all of them become candidates of each other, in a dense regio
 nearest on either side, in each of the trees). The sorted orders are dealt by range of (label, id), so a label shared by a
 third of all rows is spread over many tasks, and the number of candidates grows with the number of documents only.
 
-Every link is confirmed on the full sets. That takes two steps: first each document's most frequent candidate; then, of the
-other candidates, those that aren't connected by then and whose signatures leave a Jaccard similarity of 0.75 possible
-(agreement of at least EST_LEAST: over four standard deviations below). Components are found by passing minima along the
-links, in rounds that are cut by written tables.
+Every link is confirmed on the full sets. That takes two steps: first each document's most frequent candidate; then the
+other candidates that aren't connected by then, together with those of a second, wide sweep. The first step joins most of a
+dense region into one component, so the second sweep looks WIDE neighbours far and still emits few pairs: only those of
+different components whose set sizes and one-bit sketches leave a Jaccard similarity of 0.75 possible. All of these must
+also agree in EST_LEAST of their minima (both tests lie over four standard deviations below 0.75). Components are found by
+passing minima along the links, in rounds that are cut by written tables.
 
 Recall: a pair of similarity 0.75 shares three minima in a tree with probability 0.42, so it is next to each other in none
 of 24 trees about twice in a million, were its neighbours independent of it.
@@ -36,10 +38,12 @@ from terrafold.llm.common import keep
 
 #: Words of a shingle; similarity of a link in percent; trees, minima in a label, least shared minima, neighbours looked at.
 SHINGLE, PERCENT, TREES, DEPTH, LEAST_DEPTH, WINDOW, DENSE = 5, 75, 24, 5, 2, 8, 2
+#: Neighbours that the second sweep looks at; most of a sketch's bits that may differ.
+WIDE, BITS_APART = 64, 30
 #: Least agreement of two signatures for the second step.
 EST_LEAST = 0.56
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>"
+SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>, bits binary"
 
 
 class _Words(dict):
@@ -116,12 +120,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t.as_py()) for t in part]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[list[bytes] | None] = [None] * len(sets)
+            bits: list[bytes | None] = [None] * len(sets)
             for i, sig in zip(some, signatures([sets[i] for i in some]), strict=True):
+                bits[i] = np.packbits((sig & 1).astype(np.uint8)).tobytes()
                 rows = np.concatenate([tree[:, None], sig.reshape(TREES, DEPTH).astype(">u4")], 1).tobytes()
                 keys[i] = [rows[j : j + 4 * DEPTH + 4] for j in range(0, len(rows), 4 * DEPTH + 4)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary()))],
-                ["doc_id", "n_shingles", "set", "keys"],
+                [b.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(bits, pa.binary())],
+                ["doc_id", "n_shingles", "set", "keys", "bits"],
             )
 
 
@@ -156,6 +162,32 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids = labels[-WINDOW:], ids[-WINDOW:]
 
 
+def _wide_sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components among WIDE neighbours, if sizes and sketches leave a link possible."""
+    words, size = DEPTH + 1, TREES * DEPTH // 8
+    kinds = (((0, words), ">u4"), ((0,), np.int64), ((0,), np.int64), ((0,), np.int64), ((0, size), np.uint8))
+    held = [np.zeros(shape, kind) for shape, kind in kinds]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = len(held[1])
+        raw = lambda c, kind, n: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, n)  # noqa: B023, E731
+        new = [raw(0, ">u4", words), *(batch.column(c).to_numpy() for c in (1, 2, 3)), raw(4, np.uint8, size)]
+        labels, ids, comp, n, bits = held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        region = np.concatenate([[0], np.cumsum((labels[1:, : LEAST_DEPTH + 1] != labels[:-1, : LEAST_DEPTH + 1]).any(1))])
+        pairs = []
+        for r in range(1, min(WIDE, len(ids) - 1) + 1):
+            i = np.flatnonzero((region[r:] == region[:-r]) & (comp[r:] != comp[:-r])) + r
+            i = i[i >= old]
+            i = i[100 * np.minimum(n[i], n[i - r]) >= PERCENT * np.maximum(n[i], n[i - r])]
+            i = i[np.bitwise_count(bits[i] ^ bits[i - r]).sum(1) <= BITS_APART]
+            pairs.append(np.stack([ids[i - r], ids[i]], 1))
+        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        p.sort(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+        held = [x[-WIDE:] for x in held]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 256):
@@ -223,7 +255,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     classes = sketch.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("class"))
     rows = keep(sketch.select("doc_id", "n_shingles", "set").join(classes, "set", "left").select("doc_id", "n_shingles", "class"), "rows")
     reps = sketch.join(classes.select(F.col("set").alias("own"), "class"), (F.col("set") == F.col("own")) & (F.col("doc_id") == F.col("class")))
-    reps = reps.select(F.col("doc_id").alias("id"), "keys").dropDuplicates(["id"])
+    reps = reps.select(F.col("doc_id").alias("id"), "keys", "bits", F.col("n_shingles").alias("size")).dropDuplicates(["id"])
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = reps.select(F.explode("keys").alias("key"), "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
     pairs = keep(order.mapInArrow(_sweep, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
@@ -236,6 +268,9 @@ def cluster(docs: DataFrame) -> DataFrame:
     of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    wide = reps.join(comp, "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"), "size", "bits")
+    wide = wide.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_wide_sweep, "a bigint, b bigint")
+    rest = rest.union(wide).distinct().join(first, ["a", "b"], "left_anti")
     sig = reps.select("id", F.array_join(F.transform("keys", lambda k: F.hex(k)), "").alias("s")).select("id", F.unhex("s").alias("s"))
     rest = rest.join(sig.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     rest = keep(rest.filter(_possible("x", "y")).select("a", "b"), "rest")
