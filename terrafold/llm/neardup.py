@@ -50,7 +50,7 @@ class _Words(dict):
     """Hash of each word met so far; a bounded memory."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
