@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,12 +37,20 @@ def variance_cm2(code: Column) -> Column:
     return F.get(F.array(*map(F.lit, VARIANCE)), code)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, whatever the number of uses in body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quantise_variance(v: Column) -> Column:
     """The largest code whose variance is v at least; the logarithm's guess is settled by the table, so engines agree."""
-    v = F.greatest(v, F.lit(1e-12))
-    g = F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_CODE)), F.floor(MAX_CODE * F.log(VAR_MAX_CM2 / v) / LOG_RANGE))).cast("int")
-    up = F.least(g + 1, F.lit(MAX_CODE))
-    return F.when(v <= variance_cm2(up), up).when((v > variance_cm2(g)) & (g > 0), g - 1).otherwise(g)
+
+    def settled(v: Column, g: Column) -> Column:
+        up = F.least(g + 1, F.lit(MAX_CODE))
+        return F.when(v <= variance_cm2(up), up).when((v > variance_cm2(g)) & (g > 0), g - 1).otherwise(g)
+
+    guess = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_CODE)), F.floor(MAX_CODE * F.log(VAR_MAX_CM2 / v) / LOG_RANGE))).cast("int")
+    return let(F.greatest(v, F.lit(1e-12)), lambda v: let(guess(v), lambda g: settled(v, g)))
 
 
 def clear_tolerance_m(r_m: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrafold.config import FREE, OCCUPIED, THRESHOLDS as T
 from terrafold.config import UNKNOWN
-from terrafold.functions.sensor import quantise_variance, variance_cm2
+from terrafold.functions.sensor import let, quantise_variance, variance_cm2
 from terrafold.operators.scatter import mean_height_cm
 
 STATE = "struct<mu:int,code:int,ceil:int,odds:int,cand:int,cnt:int,refl:int,n:int>"
@@ -37,14 +37,18 @@ def step(s: Column, x: Column) -> Column:
     """State after one frame's observation."""
     prior_var = variance_cm2(s["code"]) + T["process_noise_m2_per_s"] * 1e4 * T["frame_dt_s"]
     meas = F.lit(float(T["weight_scale"])) / F.greatest(x["w_sum"], F.lit(1)).cast("double")
-    gain = prior_var / (prior_var + meas)
     first, ground = s["n"] == 0, x["w_sum"] > 0
-    mu = F.when(~ground, s["mu"].cast("double")).when(first, x["z"].cast("double")).otherwise(s["mu"] + gain * (x["z"] - s["mu"]))
-    var = F.when(~ground, prior_var).when(first, meas).otherwise((1.0 - gain) * prior_var)
+
+    def filtered(q: Column) -> Column:
+        mu = F.when(~ground, s["mu"].cast("double")).when(first, x["z"].cast("double")).otherwise(s["mu"] + q["gain"] * (x["z"] - s["mu"]))
+        var = F.when(~ground, q["prior"]).when(first, q["meas"]).otherwise((1.0 - q["gain"]) * q["prior"])
+        return F.struct(F.rint(mu).alias("mu"), quantise_variance(var).alias("code"))
+
+    height = let(F.struct(prior_var.alias("prior"), meas.alias("meas")), lambda q: let(F.struct(q["prior"].alias("prior"), q["meas"].alias("meas"), (q["prior"] / (q["prior"] + q["meas"])).alias("gain")), filtered))
     cand, cnt = vote(s["cand"], s["cnt"], x["cls"])
     refl = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x["refl_sum"] / x["count"])))
-    values = [F.rint(mu), quantise_variance(var), F.least(s["ceil"], x["ceiling_cm"]), F.least(s["odds"] + T["hit"], F.lit(T["odds_max"])), cand, cnt, refl, F.least(s["n"] + x["count"], F.lit(255))]
-    return F.struct(*(v.cast("int").alias(f) for v, f in zip(values, FIELDS, strict=True)))
+    rest = [F.least(s["ceil"], x["ceiling_cm"]), F.least(s["odds"] + T["hit"], F.lit(T["odds_max"])), cand, cnt, refl, F.least(s["n"] + x["count"], F.lit(255))]
+    return let(height, lambda h: F.struct(*(v.cast("int").alias(f) for v, f in zip([h["mu"], h["code"], *rest], FIELDS, strict=True))))
 
 
 def fold(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
