@@ -7,10 +7,10 @@ LEAST_DEPTH minima all of them become candidates of each other, in a dense regio
 nearest on either side, in each of the trees). The sorted orders are dealt by range of (label, id), so a label shared by a
 third of all rows is spread over many tasks, and the number of candidates grows with the number of documents only.
 
-Every link is confirmed on the full sets. That takes two steps: first each document's most frequent candidate; then the
-other candidates that aren't connected by then, together with those of a second, wide sweep. The first step joins most of a
-dense region into one component, so the second sweep looks WIDE neighbours far and still emits few pairs: only those of
-different components whose set sizes and one-bit sketches leave a Jaccard similarity of 0.75 possible. All of these must
+Every link is confirmed on the full sets. That takes three steps: first each document's most frequent candidate; then the
+other candidates that aren't connected by then; then those of a second, wide sweep. The first steps join most of a dense
+region into one component, so the wide sweep looks WIDE neighbours far and still emits few pairs: only those of different
+components whose set sizes and one-bit sketches leave a Jaccard similarity of 0.75 possible. Pairs of the later steps must
 also agree in EST_LEAST of their minima (both tests lie over four standard deviations below 0.75). Components are found by
 passing minima along the links, in rounds that are cut by written tables.
 
@@ -219,11 +219,15 @@ def _possible(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked by their full sets."""
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, s): the full sets of all documents in pairs, made once for all steps; the text is shuffled once."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     text = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
-    sets = keep(text.mapInArrow(_sets, "id bigint, s binary"), "sets")
+    return keep(text.mapInArrow(_sets, "id bigint, s binary"), "sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked by their full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return keep(both.filter(_linked("x", "y")).select("a", "b").distinct(), "links")
 
@@ -263,20 +267,22 @@ def cluster(docs: DataFrame) -> DataFrame:
     first = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.struct("n", (-F.xxhash64("b")).alias("h"), F.col("b").alias("v")).alias("w")), F.struct(F.col("b").alias("u"), F.struct("n", (-F.xxhash64("a")).alias("h"), F.col("a").alias("v")).alias("w")))).alias("x"))
     first = first.groupBy("x.u").agg(F.max("x.w").alias("w")).select(F.least("u", "w.v").alias("a"), F.greatest("u", "w.v").alias("b")).distinct()
     first = keep(first, "first")
-    links = confirmed(docs, first)
-    comp = components(links)
+    sets = sets_of(docs, pairs)
+    comp = components(confirmed(sets, first))
+
+    def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links among pairs of different components whose signatures leave one possible."""
+        sig = reps.select("id", F.array_join(F.transform("keys", lambda k: F.hex(k)), "").alias("s")).select("id", F.unhex("s").alias("s"))
+        p = pairs.join(sig.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        links = confirmed(sets, keep(p.filter(_possible("x", "y")).select("a", "b"), "rest"))
+        return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
     of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    comp = joined(comp, rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     wide = reps.join(comp, "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"), "size", "bits")
-    wide = wide.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_wide_sweep, "a bigint, b bigint")
-    rest = rest.union(wide).distinct().join(first, ["a", "b"], "left_anti")
-    sig = reps.select("id", F.array_join(F.transform("keys", lambda k: F.hex(k)), "").alias("s")).select("id", F.unhex("s").alias("s"))
-    rest = rest.join(sig.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    rest = keep(rest.filter(_possible("x", "y")).select("a", "b"), "rest")
-    more = confirmed(docs, rest)
-    stars = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    comp = components(stars)
+    wide = wide.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_wide_sweep, "a bigint, b bigint").distinct()
+    comp = joined(comp, wide.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     out = rows.join(comp.select(F.col("id").alias("class"), "component"), "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
 
