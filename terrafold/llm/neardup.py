@@ -8,14 +8,15 @@ nearest on either side, in each of the trees). The sorted orders are dealt by ra
 third of all rows is spread over many tasks, and the number of candidates grows with the number of documents only.
 
 Every link is confirmed on the full sets. That takes three steps: first each document's most frequent candidate; then the
-other candidates that aren't connected by then; then those of a second, wide sweep. The first steps join most of a dense
-region into one component, so the wide sweep looks WIDE neighbours far and still emits few pairs: only those of different
-components whose set sizes and one-bit sketches leave a Jaccard similarity of 0.75 possible. Pairs of the later steps must
-also agree in EST_LEAST of their minima (both tests lie over four standard deviations below 0.75). Components are found by
-passing minima along the links, in rounds that are cut by written tables.
+other candidates that aren't connected by then, where their signatures agree in EST_LEAST of the minima; then an exact pass
+over what is left. The first steps only join most of a dense region into one component cheaply: no link depends on them.
 
-Recall: a pair of similarity 0.75 shares three minima in a tree with probability 0.42, so it is next to each other in none
-of 24 trees about twice in a million, were its neighbours independent of it.
+The exact pass is a prefix filter. The shingles of a set are put in one global order, rarest of a sample first; two sets of
+similarity 0.75 share one of the first quarter (and one more) of each. Documents that meet at such a shingle and lie in
+different components are paired unless their sizes, the places of the shingle in both orders or, at a common shingle, the
+counts of their shingles in BUCKETS buckets rule a link out; each is an upper bound of the overlap, so no link is lost and
+there is no window. The order is right whatever the sample; the sample only keeps common passages out of the prefixes.
+Components are found by passing minima along the links, in rounds that are cut by written tables.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; a text of fewer than five words is one
 shingle; exact copies and repeated rows share a class; rows with one id count as one document with any of its texts; a null
@@ -34,16 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import keep
+from terrafold.llm.common import keep, near_share
 
 #: Words of a shingle; similarity of a link in percent; trees, minima in a label, least shared minima, neighbours looked at.
 SHINGLE, PERCENT, TREES, DEPTH, LEAST_DEPTH, WINDOW, DENSE = 5, 75, 24, 5, 2, 8, 2
-#: Neighbours that the second sweep looks at; most of a sketch's bits that may differ.
-WIDE, BITS_APART = 64, 30
+#: Buckets of the counts that bound an overlap; runs longer than this are paired class by class; pairs made at a time.
+BUCKETS, LONG_RUN, AT_ONCE = 256, 64, 1 << 20
+#: Documents whose shingles give the global order; shingles that count as common there, at most.
+SAMPLE_ROWS, COMMON = 4000, 100_000
 #: Least agreement of two signatures for the second step.
 EST_LEAST = 0.56
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>, bits binary"
+SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>, prefix binary, buckets binary"
 
 
 class _Words(dict):
@@ -111,7 +114,35 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most common shingles of a bounded sample, and their counts: (2, n)."""
+    share = SAMPLE_ROWS / max(1, docs.count())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["s"])
+
+    n = docs.filter(near_share(docs, "doc_id", share)).select("text").mapInArrow(task, "s bigint").groupBy("s").agg(F.count("*").alias("n"))
+    top = n.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    found = np.array([(r.s, r.n) for r in top], np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+    return found[:, np.argsort(found[0])]
+
+
+def _times(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How often each shingle was in the sample, 0 for one that isn't common."""
+    if not common.shape[1]:
+        return np.zeros(len(s), np.uint64)
+    i = np.minimum(np.searchsorted(common[0], s), common.shape[1] - 1)
+    return np.where(common[0][i] == s, common[1][i], 0)
+
+
+def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a non-empty set in the global order, of which two linked sets share one."""
+    return s[np.lexsort((s, _times(s, common)))][: len(s) - -(-PERCENT * len(s) // 100) + 1]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     tree = np.arange(TREES, dtype=">u4")
     for b in batches:
         texts = b.column(1)
@@ -120,14 +151,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t.as_py()) for t in part]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[list[bytes] | None] = [None] * len(sets)
-            bits: list[bytes | None] = [None] * len(sets)
+            first: list[bytes | None] = [None] * len(sets)
+            buckets: list[bytes | None] = [None] * len(sets)
             for i, sig in zip(some, signatures([sets[i] for i in some]), strict=True):
-                bits[i] = np.packbits((sig & 1).astype(np.uint8)).tobytes()
+                first[i] = prefix(sets[i], common).tobytes()
+                buckets[i] = np.bincount((sets[i] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes()
                 rows = np.concatenate([tree[:, None], sig.reshape(TREES, DEPTH).astype(">u4")], 1).tobytes()
                 keys[i] = [rows[j : j + 4 * DEPTH + 4] for j in range(0, len(rows), 4 * DEPTH + 4)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(bits, pa.binary())],
-                ["doc_id", "n_shingles", "set", "keys", "bits"],
+                [b.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(first, pa.binary()), pa.array(buckets, pa.binary())],
+                ["doc_id", "n_shingles", "set", "keys", "prefix", "buckets"],
             )
 
 
@@ -162,30 +195,93 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids = labels[-WINDOW:], ids[-WINDOW:]
 
 
-def _wide_sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components among WIDE neighbours, if sizes and sketches leave a link possible."""
-    words, size = DEPTH + 1, TREES * DEPTH // 8
-    kinds = (((0, words), ">u4"), ((0,), np.int64), ((0,), np.int64), ((0,), np.int64), ((0, size), np.uint8))
-    held = [np.zeros(shape, kind) for shape, kind in kinds]
-    for batch in batches:
-        if not batch.num_rows:
+def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix: shingle, id, component, set size and place; the buckets at a common one."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            firsts = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+            long = np.array([len(f) for f in firsts])
+            s = np.concatenate(firsts)
+            of = np.repeat(np.arange(len(firsts)), long)
+            at = np.arange(len(s)) - np.repeat(np.cumsum(long) - long, long)
+            size = part.column(3).to_numpy()[of]
+            buckets = part.column(4).take(pa.array(np.where(_times(s, common) > 0, of, -1), mask=_times(s, common) == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(size << 32 | at), buckets], ["s", "id", "comp", "place", "buckets"])
+
+
+def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m whose first common shingle is at places at and bt can be linked."""
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * np.minimum(n - at, m - bt) >= PERCENT * (n + m))
+
+
+def _long_run(ids: np.ndarray, comp: np.ndarray, place: np.ndarray, buckets: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Pairs of a long run. Members with equal sizes and places are ruled out together; the largest component isn't paired with itself."""
+    kinds, counts = np.unique(comp, return_counts=True)
+    if len(kinds) == 1:
+        return
+    own = comp == kinds[counts.argmax()]
+    vec = np.frombuffer(b"".join(buckets), np.uint8).reshape(-1, BUCKETS) if None not in buckets else None
+    full = vec.max(1) == 255 if vec is not None else None
+    classes, of = np.unique(place, return_inverse=True)
+    members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
+    n, at = classes >> 32, classes & 0xFFFFFFFF
+    for c, rows in enumerate(members):
+        left = rows[~own[rows]]
+        if not len(left):
             continue
-        old = len(held[1])
-        raw = lambda c, kind, n: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, n)  # noqa: B023, E731
-        new = [raw(0, ">u4", words), *(batch.column(c).to_numpy() for c in (1, 2, 3)), raw(4, np.uint8, size)]
-        labels, ids, comp, n, bits = held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        region = np.concatenate([[0], np.cumsum((labels[1:, : LEAST_DEPTH + 1] != labels[:-1, : LEAST_DEPTH + 1]).any(1))])
-        pairs = []
-        for r in range(1, min(WIDE, len(ids) - 1) + 1):
-            i = np.flatnonzero((region[r:] == region[:-r]) & (comp[r:] != comp[:-r])) + r
-            i = i[i >= old]
-            i = i[100 * np.minimum(n[i], n[i - r]) >= PERCENT * np.maximum(n[i], n[i - r])]
-            i = i[np.bitwise_count(bits[i] ^ bits[i - r]).sum(1) <= BITS_APART]
-            pairs.append(np.stack([ids[i - r], ids[i]], 1))
-        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        right = np.concatenate([members[d] for d in np.flatnonzero(_may_link(n[c], at[c], n, at))] or [rows[:0]])
+        step = max(1, (AT_ONCE >> (7 if vec is not None else 0)) // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            i, j = np.nonzero((comp[left[lo : lo + step], None] != comp[right]) & (own[right] | (left[lo : lo + step, None] < right)))
+            i, j = left[lo + i], right[j]
+            if vec is not None:
+                ok = np.empty(len(i), bool)
+                for k in range(0, len(i), 1 << 14):
+                    x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    most = np.minimum(vec[x], vec[y]).sum(1, dtype=np.int64)
+                    ok[k : k + (1 << 14)] = ((100 + PERCENT) * most >= PERCENT * ((place[x] >> 32) + (place[y] >> 32))) | full[x] | full[y]
+                i, j = i[ok], j[ok]
+            if len(i):
+                yield np.stack([ids[i], ids[j]], 1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that meet at a shingle of both prefixes, in rows sorted by shingle, if a link is possible."""
+
+    def out(p: np.ndarray) -> pa.RecordBatch:
         p.sort(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-        held = [x[-WIDE:] for x in held]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+    def runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, ids, comp, place = (t.column(c).to_numpy() for c in range(4))
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        sizes = np.diff(np.append(starts, len(s)))
+        size = np.repeat(sizes, sizes)
+        n, at = place >> 32, place & 0xFFFFFFFF
+        for r in range(1, min(LONG_RUN, int(sizes.max()))):
+            i = np.flatnonzero((s[r:] == s[:-r]) & (comp[r:] != comp[:-r]) & (size[r:] <= LONG_RUN)) + r
+            i = i[_may_link(n[i], at[i], n[i - r], at[i - r])]
+            if len(i):
+                yield out(np.stack([ids[i - r], ids[i]], 1))
+        for a, k in zip(starts[sizes > LONG_RUN], sizes[sizes > LONG_RUN], strict=True):
+            for p in _long_run(ids[a : a + k], comp[a : a + k], place[a : a + k], t.column(4).slice(a, k).to_pylist()):
+                yield out(p)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and b.column(0)[b.num_rows - 1] == held[0].column(0)[0]:
+            held.append(b)  # one run goes on
+            continue
+        s = b.column(0).to_numpy()
+        cut = int(np.flatnonzero(s != s[-1]).max(initial=-1)) + 1
+        if held or cut:
+            yield from runs(pa.Table.from_batches([*held, b.slice(0, cut)]))
+        held = [b.slice(cut)]
+    if held:
+        yield from runs(pa.Table.from_batches(held))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +315,16 @@ def _possible(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+@F.arrow_udf(T.BooleanType())
+def _fits(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
+    """Whether the bucket counts of sets of sizes n and m leave a link possible: an upper bound of the overlap."""
+    out = []
+    for a, i, b, j in zip(x.to_pylist(), n.to_pylist(), y.to_pylist(), m.to_pylist(), strict=True):
+        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        out.append(bool((100 + PERCENT) * int(np.minimum(a, b).sum(dtype=np.int64)) >= PERCENT * (i + j) or a.max() == 255 or b.max() == 255))
+    return pa.array(out, pa.bool_())
+
+
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, s): the full sets of all documents in pairs, made once for all steps; the text is shuffled once."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -255,11 +361,12 @@ def components(links: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    sketch = keep(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    sketch = keep(docs.mapInArrow(lambda b: _sketch(b, common.value), SKETCH), "sketch")
     classes = sketch.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("class"))
     rows = keep(sketch.select("doc_id", "n_shingles", "set").join(classes, "set", "left").select("doc_id", "n_shingles", "class"), "rows")
     reps = sketch.join(classes.select(F.col("set").alias("own"), "class"), (F.col("set") == F.col("own")) & (F.col("doc_id") == F.col("class")))
-    reps = reps.select(F.col("doc_id").alias("id"), "keys", "bits", F.col("n_shingles").alias("size")).dropDuplicates(["id"])
+    reps = reps.select(F.col("doc_id").alias("id"), "keys", "prefix", "buckets", F.col("n_shingles").alias("size")).dropDuplicates(["id"])
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = reps.select(F.explode("keys").alias("key"), "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
     pairs = keep(order.mapInArrow(_sweep, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
@@ -280,9 +387,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     comp = joined(comp, rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    wide = reps.join(comp, "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"), "size", "bits")
-    wide = wide.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_wide_sweep, "a bigint, b bigint").distinct()
-    comp = joined(comp, wide.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    meet = reps.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "prefix", "size", "buckets")
+    meet = meet.mapInArrow(lambda b: _entries(b, common.value), "s bigint, id bigint, comp bigint, place bigint, buckets binary")
+    meet = keep(meet.repartition(n, "s").sortWithinPartitions("s").mapInArrow(_meet, "a bigint, b bigint").distinct(), "meet")
+    counts = lambda c, v, z: reps.select(F.col("id").alias(c), F.col("buckets").alias(v), F.col("size").alias(z))
+    meet = keep(meet.join(counts("a", "x", "n"), "a").join(counts("b", "y", "m"), "b").filter(_fits("x", "n", "y", "m")).select("a", "b"), "meet")
+    links = confirmed(sets_of(docs, meet), meet)
+    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
     out = rows.join(comp.select(F.col("id").alias("class"), "component"), "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
 

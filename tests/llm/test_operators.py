@@ -325,3 +325,33 @@ def test_op10_hits(spark, docs, empty, most_words, monkeypatch):
     assert decontaminate.decontaminate(spark, docs, bench).columns == docs.columns
     stripped = {r.doc_id: r.text for r in decontaminate.decontaminate(spark, docs, bench, "span").collect()}
     assert stripped[15] == "x  y" and stripped[6] == texts()[6]
+
+
+def test_op2_finds_links_in_a_hot_region(spark):
+    r = random.Random(8)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    passage = own(204)
+    rows = [(i, " ".join(passage + own(70))) for i in range(3000)]  # share most of their labels, but no links
+    for k in range(60):  # two of 0.76 among them
+        x = rows[k][1].split(" ")
+        x[-37:] = own(37)
+        rows.append((5000 + k, " ".join(x)))
+    got = by_id(neardup.op2(frame(spark, rows)))
+    want = {i: i for i in range(3000)} | {5000 + k: k for k in range(60)}
+    sets = dict((i, shingles(t)) for i, t in rows if i in (0, 5000, 1))
+    assert 75 * len(sets[0] | sets[5000]) <= 100 * len(sets[0] & sets[5000]) and 75 * len(sets[0] | sets[1]) > 100 * len(sets[0] & sets[1])
+    assert {i: x["component_id"] for i, x in got.items()} == want
+
+
+def test_op2_narrow_steps_arent_needed(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LONG_RUN", 2)
+    monkeypatch.setattr(neardup, "_sweep", lambda batches: (b.slice(0, 0).select([1, 1]).rename_columns(["a", "b"]) for b in batches))
+    r = random.Random(9)
+    base = [f"w{r.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(80):
+        t = list(base)
+        for _ in range(r.randrange(7)):
+            t[r.randrange(120)] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    assert {i: x["component_id"] for i, x in by_id(neardup.op2(frame(spark, rows))).items()} == components(rows)[1]
