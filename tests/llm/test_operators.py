@@ -355,3 +355,27 @@ def test_op2_narrow_steps_arent_needed(spark, monkeypatch):
             t[r.randrange(120)] = f"new{r.randrange(10**6)}"
         rows.append((i, " ".join(t)))
     assert {i: x["component_id"] for i, x in by_id(neardup.op2(frame(spark, rows))).items()} == components(rows)[1]
+
+
+def test_op5_takes_whole_private_keys(spark, tmp_path):
+    r = random.Random(4)
+    body = lambda n=20: "\n".join("".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(n)) + "\nQx7+kw=="
+    bodies = [body() for _ in range(6)] + [body(3000)]
+    b = bodies
+    keys = [
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{b[0]}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{b[1]}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN PRIVATE KEY-----\n{b[2]}",
+        "-----BEGIN EC PRIVATE KEY-----\\n" + b[3].replace("\n", "\\n") + "\\n-----END EC PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\n    " + b[4].replace("\n", "\n    ") + "\n    -----END PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4\n\n{b[5]}\n\n",
+        f"-----BEGIN OPENSSH PRIVATE KEY-----\n{b[6]}\n-----END OPENSSH PRIVATE KEY-----",
+    ]
+    rows = [(i, f"é before {k} (after) it - - -") for i, k in enumerate(keys)]
+    rows.append((99, keys[2] + "\n(kept) " + keys[0] + " (after) " + "-x" * 20000))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in secrets.redacted(docs, str(tmp_path / "ledger")).collect()}
+    for i in range(len(keys)):
+        assert not any(line.strip() in got[i] for line in b[i].replace("\\n", "\n").split("\n")), i
+        assert "PRIVATE KEY" not in got[i] and got[i].startswith("é before <private_key>") and got[i].endswith("(after) it - - -"), i
+    assert got[99].startswith("<private_key>(kept) <private_key> (after) -x-x") and len(got[99]) > 40000
