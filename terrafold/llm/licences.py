@@ -5,7 +5,11 @@ lower case), sentences are normalised (A-Z lower-cased, other runs than a-z 0-9
 licence sentences. The sequence of identifiers, with a mark for every unknown sentence in between, is matched against
 ordered rules: each rule takes its identifier sequence wherever it occurs, and what it took is gone for later rules.
 
-Only texts with one of STEMS are cut; every known sentence holds one (asserted on import), so none is missed.
+Known passages of licence texts (PASSAGES, and long sentences) are found first, word by word, whatever stands between the
+words: line breaks, blank lines, comment marks. Each is put on a line of its own, so the cut gives it as one sentence. A
+sentence that begins with one of the usual openings (OPENING) and goes on with a licence's name (NAMES) is known too.
+
+Only texts that GATE finds are cut; every known sentence holds one of STEMS (asserted on import), so none is missed.
 
 Edge cases: null and empty texts have no sentences; repeated rows are judged alike; extra columns are ignored; an empty
 table gives an empty result.
@@ -46,24 +50,102 @@ RULES = [
     ("BSD", ["bsd_redistribute"]),
     ("Proprietary", ["rights"]),
 ]
+#: Passages of canonical texts; '*' stands for up to 12 words.
+_free = "this * is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_gnu = [("gpl", "GPL", "general public license", ("2", "3")), ("lgpl", "LGPL", "lesser general public license", ("2 1", "3")), ("agpl", "AGPL", "affero general public license", ("3",))]
+PASSAGES = {
+    "mit_grant": SENTENCES["mit_grant"],
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "apache2_header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache2_title": "apache license version 2 0 january 2004",
+    "mpl2_header": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "gpl_free": SENTENCES["gpl_free"],
+    **{f"{k}{v.replace(' ', '')}_free": _free.format(name, v) for k, _, name, vs in _gnu for v in vs},
+    "gpl2_title": "gnu general public license version 2 june 1991",
+    "gpl3_title": "gnu general public license version 3 29 june 2007",
+    "lgpl3_title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3_title": "gnu affero general public license version 3 19 november 2007",
+    "bsd_redistribute": SENTENCES["bsd_redistribute"],
+    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd_endorse": "neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission",
+}
+OPENING = (
+    r"^(?:spdx license identifier |(?:(?:this|the|our|all) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:dual )?"
+    r"(?:licensed|released|distributed|published|provided|made available|available) under (?:the )?(?:terms of (?:the )?)?)"
+)
+#: Names after an opening, normalised, by identifier and licence.
+NAMES = {
+    "mit_name": ("MIT", ["mit", "mit license", "mit licence", "expat license"]),
+    "apache2_name": ("Apache-2.0", ["apache 2 0", "apache license 2 0", "apache 2 0 license", "apache license version 2 0", "apache license v2 0"]),
+    "bsd2_name": ("BSD-2-Clause", ["bsd 2 clause", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license"]),
+    "bsd3_name": ("BSD-3-Clause", ["bsd 3 clause", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"]),
+    "isc_name": ("ISC", ["isc", "isc license"]),
+    "mpl2_name": ("MPL-2.0", ["mpl 2 0", "mozilla public license 2 0", "mozilla public license version 2 0"]),
+    "cc0_name": ("CC0-1.0", ["cc0 1 0", "cc0 1 0 universal"]),
+    "unlicense_name": ("Unlicense", ["unlicense"]),
+    **{
+        f"cc_{'_'.join(k.split())}4_name": (f"CC-{'-'.join(k.upper().split())}-4.0", [f"cc {k} 4 0", f"creative commons {long} 4 0 international license"])
+        for k, long in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
+    },
+    **{
+        f"{k}{v.replace(' ', '')}_{end}_name": (f"{short}-{v.replace(' ', '.') if ' ' in v else v + '.0'}-{full}", [x for n in (v, v + " 0") for x in ((f"{k} {n} {full.replace('-', ' ')}", *(f"gnu {name} {w}{n}{tail}" for w in ("version ", "v", "")), *((f"{k} {n}", f"{k}v{n}") if end == "only" else ())))])
+        for k, short, name, vs in _gnu for v in vs for end, full, tail in (("only", "only", ""), ("later", "or-later", " or later"))
+    },
+}
+#: Rules of the passages and names, after the first ones.
+MORE_RULES = [
+    ("Apache-2.0", ["apache2_header"]), ("Apache-2.0", ["apache2_title"]), ("ISC", ["isc_grant"]), ("MPL-2.0", ["mpl2_header"]),
+    *((f"{short}-{v.replace(' ', '.') if ' ' in v else v + '.0'}-or-later", [f"{k}{v.replace(' ', '')}_free"]) for k, short, _, vs in _gnu for v in vs),
+    ("GPL-2.0", ["gpl2_title"]), ("GPL-3.0", ["gpl3_title"]), ("LGPL-3.0", ["lgpl3_title"]), ("AGPL-3.0", ["agpl3_title"]),
+    *((licence, [i]) for i, (licence, _) in NAMES.items()),
+]
+#: Rules that must come before the one for their first sentence alone.
+BSD_RULES = [
+    ("BSD-4-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary", "bsd_advertise"]),
+    ("BSD-3-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse"]),
+    ("BSD-2-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary"]),
+]
+ALL_RULES = [*RULES[:-2], *BSD_RULES, *RULES[-2:], *MORE_RULES]
 STEMS = "licen[sc]e|copyright|permission|redistribut"
 CUT = r"[.!?]+(?=\s|$)|\n(?![a-z])"
-assert all(re.search(STEMS, s) for s in SENTENCES.values())
+#: A text that has none of these is not cut; the advertising clause only counts after bsd_redistribute.
+GATE = rf"(?i){STEMS}|(?:released|distributed|published|provided|available)\s+under"
+assert all(re.search(STEMS, s) for s in [*SENTENCES.values(), *(p for i, p in PASSAGES.items() if i != "bsd_advertise")])
+_plain = {i: " ".join(p.replace("*", " ").split()) for i, p in PASSAGES.items()}
+_known_ids = {s: i for i, s in [*_plain.items(), *SENTENCES.items()]}
+_name_ids = {n: i for i, (_, names) in NAMES.items() for n in names}
+
+
+def _passage(p: str) -> str:
+    """A pattern of the words of a passage with anything but letters and digits between them, and a list number before it."""
+    gap, words = "[^A-Za-z0-9]+", p.split()
+    out = "".join("(?:[A-Za-z0-9]+[^A-Za-z0-9]+){0,12}?" if w == "*" else w + (gap if k + 1 < len(words) else "") for k, w in enumerate(words))
+    return rf"(?i)(?:(?<=\s|^)\(?[0-9a-d][.)]\s+)?(?<![A-Za-z0-9]){out}(?![A-Za-z0-9])"
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the sentences of a text, in order; '-' for one or more unknown sentences."""
-    ids, keys = F.array(*map(F.lit, SENTENCES)), F.array(*map(F.lit, SENTENCES.values()))
     lower = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = lambda x: F.btrim(F.regexp_replace(lower(x), "[^a-z0-9]+", " "))
-    cut = F.filter(F.transform(F.split(text, CUT), norm), lambda x: x != "")
-    got = F.transform(cut, lambda x: F.coalesce(F.get(ids, F.nullif(F.array_position(keys, x), F.lit(0)).cast("int") - 1), F.lit("-")))
-    return F.when(text.rlike(f"(?i){STEMS}"), got).otherwise(F.array().cast("array<string>"))
+    lined = F.regexp_replace(text, r"(?i)(SPDX-License-Identifier:[^\n]*)", "\n# $1\n#")
+    for i, p in PASSAGES.items():
+        lined = F.regexp_replace(lined, _passage(p), f"\n# {_plain[i]}\n#")
+
+    def find(known: dict[str, str], x: Column) -> Column:
+        at = F.array_position(F.array(*map(F.lit, known)), x)
+        return F.get(F.array(*map(F.lit, known.values())), F.nullif(at, F.lit(0)).cast("int") - 1)
+
+    cut = F.filter(F.transform(F.split(lined, CUT), norm), lambda x: x != "")
+    name = lambda x: F.when(x.rlike(OPENING), find(_name_ids, F.regexp_replace(x, OPENING, "")))
+    got = F.transform(cut, lambda x: F.coalesce(find(_known_ids, x), name(x), F.lit("-")))
+    return F.when(text.rlike(GATE), got).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
     """Licences of the rules that took a part of an identifier sequence, in the order of the rules, each once."""
-    rules = F.array(*(F.struct(F.lit(n).alias("n"), F.lit("".join(f" {i} " for i in seq)).alias("seq")) for n, seq in RULES))
+    rules = F.array(*(F.struct(F.lit(n).alias("n"), F.lit("".join(f" {i} " for i in seq)).alias("seq")) for n, seq in ALL_RULES))
     start = F.struct(F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:

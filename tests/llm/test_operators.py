@@ -379,3 +379,16 @@ def test_op5_takes_whole_private_keys(spark, tmp_path):
         assert not any(line.strip() in got[i] for line in b[i].replace("\\n", "\n").split("\n")), i
         assert "PRIVATE KEY" not in got[i] and got[i].startswith("é before <private_key>") and got[i].endswith("(after) it - - -"), i
     assert got[99].startswith("<private_key>(kept) <private_key> (after) -x-x") and len(got[99]) > 40000
+
+
+def test_op6_knows_canonical_texts(spark):
+    mit = 'MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS".'
+    apache = 'Copyright 2020 A B\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    bsd2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    bsd3 = bsd2 + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    want = {"MIT": mit, "Apache-2.0": apache, "GPL-3.0-or-later": gpl, "GPL-2.0-or-later": gpl.replace("version 3", "version 2"), "LGPL-2.1-or-later": gpl.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"), "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3}
+    rows = [(f(t), x) for x, t in want.items() for f in (str, lambda t: "/*\n" + "\n".join(" * " + k for k in t.split("\n")) + "\n */", lambda t: "\n".join("# " + k for k in t.split("\n")))]
+    rows += [("This project is licensed under the MIT License.", "MIT"), ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "GPL-3.0-or-later"), ("See below. This work is licensed under a licence of its own.", ""), ("This software is not licensed under the MIT License.", "")]
+    got = by_id(licences.op6(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])))
+    assert [got[i]["licences"] for i in range(len(rows))] == [x for _, x in rows]
