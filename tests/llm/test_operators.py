@@ -392,3 +392,15 @@ def test_op6_knows_canonical_texts(spark):
     rows += [("This project is licensed under the MIT License.", "MIT"), ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "GPL-3.0-or-later"), ("See below. This work is licensed under a licence of its own.", ""), ("This software is not licensed under the MIT License.", "")]
     got = by_id(licences.op6(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])))
     assert [got[i]["licences"] for i in range(len(rows))] == [x for _, x in rows]
+
+
+def test_op2_looks_further_than_a_window():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 300  # only the first and the last row of one shingle are of like size
+    size = np.array([100, *range(2000, 2000 + n - 2), 100], np.int64)
+    b = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size << 32), pa.nulls(n, pa.binary())], ["s", "id", "comp", "place", "buckets"])
+    for cuts in ([0, n], [0, 100, 200, n]):
+        pairs = [(x, y) for p in neardup._meet(iter([b.slice(i, j - i) for i, j in zip(cuts, cuts[1:])])) for x, y in zip(p["a"].to_pylist(), p["b"].to_pylist())]
+        assert set(pairs) == {(0, n - 1)} | {(x, y) for x in range(1, n - 1) for y in range(x + 1, n - 1)} and len(pairs) == len(set(pairs))
