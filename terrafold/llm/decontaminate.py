@@ -2,14 +2,16 @@
 
 Words are runs of letters, digits and non-ASCII bytes of the text with A-Z lower-cased. Edge cases: null and wordless
 texts have no words and no hits; a benchmark item of fewer than ``n`` words is one window, one without words none; null
-item ids are left out of the list of items but their windows still hit; repeated rows are judged alike; an empty
-benchmark hits nothing. The set is broadcast in blocks of at most MOST_WORDS benchmark words; a larger benchmark takes
-several passes whose hits are united per document.
+item ids are left out of the list of items but their windows still hit; of repeated item ids one is listed; repeated rows
+and null ids of documents are judged alike; an empty benchmark hits nothing, an empty document table gives an empty result;
+texts are read whole; other columns than those named are kept by ``decontaminate`` and ignored by ``op10``.
+
+The set is broadcast in blocks of at most MOST_WORDS benchmark words (and one item). Of several blocks a worker holds one at
+a time, for some BLOCK bytes of text; their hits are united per document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.llm.common import by_block, share_block, small_batches
+
 #: Words of a window; benchmark words in a broadcast block (about 200 bytes each).
 N, MOST_WORDS = 10, 500_000
-#: Bytes of text tokenised at a time.
-BLOCK = 1 << 22
+#: Characters of text that are looked at together, about.
+BLOCK = 1 << 23
 _TO = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
@@ -99,38 +103,42 @@ def blocks(benchmark: DataFrame, most_words: int = MOST_WORDS) -> Iterator[list[
     yield block
 
 
-def find_udf(spark: SparkSession, block: list[tuple[str | None, list[bytes]]], n: int = N):
-    """An Arrow UDF: text to its number of words, hit spans and items of one block."""
-    shared = spark.sparkContext.broadcast(Windows(block, n))
+def _together(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, some BLOCK characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py())
+        size += len(some[-1] or "")
+        if size >= BLOCK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def hits(spark: SparkSession, benchmark: DataFrame, text: Column, n: int = N, most_words: int = MOST_WORDS) -> Column:
+    """A struct column for a text column: its number of words, hit spans and the items whose windows occur."""
+    small_batches(spark)
+    shared = [share_block(spark, Windows(b, n)) for b in blocks(benchmark, most_words)]
 
     @F.arrow_udf(HITS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
         for texts in batches:
             out = []
-            for t in texts:
-                ws = words(t.as_py())
-                spans, items = shared.value.find(ws)
-                out.append({"n_words": len(ws), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+            for some in _together(texts):
+                split = [words(t) for t in some]
+                spans: list[list] = [[] for _ in split]
+                items: list[set] = [set() for _ in split]
+                for known in by_block(shared):
+                    for i, ws in enumerate(split):
+                        a, b = known.find(ws)
+                        spans[i] += a
+                        items[i] |= b
+                out += [{"n_words": len(ws), "spans": [{"a": a, "b": b} for a, b in union(x)], "items": sorted(y)} for ws, x, y in zip(split, spans, items, strict=True)]
             yield pa.array(out, kind)
 
-    return find
-
-
-@F.arrow_udf(HITS)
-def _united(several: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for rows in several:
-        out = []
-        for row in rows.to_pylist():
-            spans = union([(x["a"], x["b"]) for h in row for x in h["spans"]])
-            out.append({"n_words": row[0]["n_words"], "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted({i for h in row for i in h["items"]})})
-        yield pa.array(out, rows.type.value_type)
-
-
-def hits(spark: SparkSession, benchmark: DataFrame, text: Column, n: int = N, most_words: int = MOST_WORDS) -> Column:
-    """A struct column (n_words, spans, items) for a text column; one pass over the text for each benchmark block."""
-    found = [find_udf(spark, b, n)(text) for b in blocks(benchmark, most_words)]
-    return found[0] if len(found) == 1 else _united(F.array(*found))
+    return find(text)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
