@@ -7,14 +7,17 @@ The library ranks pairs rather than joined tokens: pairs that join to one token
 as long as two such pairs don't overlap: XY = YZ for adjacent X, Y, Z. The strings XYZ for which that can happen are
 listed when a codec is built; a match that holds one goes by the merge rule itself.
 
-Edge cases: null counts as the empty text and has no ids; texts are encoded whole; repeated rows give equal results;
-a character split over several tokens is decoded from its bytes; an id outside the table is an error.
+Edge cases: null counts as the empty text and has no ids; texts of any length are encoded whole, a batch of them a few MB
+at a time; repeated rows and null ids give equal results; of pairs with one rank the leftmost is joined; a character split
+over several tokens is decoded from its bytes; an id outside the table is an error; other columns than doc_id and text are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -79,19 +82,28 @@ class Codec:
         return (_PLAIN if self.usual and not _OTHER.search(text) else self.pattern).findall(text)
 
     def by_rule(self, piece: bytes) -> tuple[int, ...]:
-        """The merge rule itself, on one match: join the pair of lowest rank, leftmost first, until none is left."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get, none = self.ranks.get, len(self.token)
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (low := min(pairs)) < none:
-            i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-        return tuple(self.ranks[p] for p in parts)
+        """The merge rule itself, on one match: join the pair of lowest rank, leftmost first, until none is left.
+
+        Parts are a linked list by their first byte, pairs a heap; a pair that has changed since is skipped.
+        """
+        n, get = len(piece), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: get(piece[i : end[end[i]]]) if i >= 0 and end[i] < n else None
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            _, i, upto = heapq.heappop(heap)
+            if gone[i] or end[i] >= n or end[end[i]] != upto:
+                continue
+            gone[end[i]] = 1
+            end[i] = upto
+            if upto < n:
+                before[upto] = i
+            for k in (before[i], i):
+                if (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, end[end[k]]))
+        return tuple(self.ranks[piece[i : end[i]]] for i in range(n) if not gone[i])
 
     def learn(self, pieces: list[str]) -> None:
         """Ids of matches not met before, as one batch of the library."""

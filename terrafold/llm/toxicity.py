@@ -12,9 +12,14 @@ significance is measured by (those with E < E_MAX are reported). The r best segm
 E = exp(-s) s^(r-1) / (r! (r-1)!) with s the sum of lambda * score - log(K * words); the least E over r is the text's, and a
 logistic fit on the training rows turns -log E into a score from 0 to 1.
 
+Words are those of ``tokens`` in training and in scoring. What is learned comes from the sampled rows alone, so the model
+that is broadcast has at most a feature for each LEAST words of the sample.
+
 Edge cases: null and wordless texts have no segment and get the score of a text without positive tokens; rows with a null
-id or label aren't learned from; without labels of both classes every score is 0; repeated rows count once in training
-and are scored alike. Texts are scanned whole.
+id or label aren't learned from; an id with both labels counts as toxic; without labels of both classes every score is near
+0; repeated rows count once in training and are scored alike; equal segments of a text are told in the order of the text.
+Texts of any length are scanned whole; other columns than doc_id, text and toxic are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,29 +31,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import crc_mod, let, near_share
+from terrafold.llm.common import crc_mod, near_share, small_batches
 
 #: Labelled rows learned from per class, about; strength of the prior as a share of the tokens; least count of a feature;
 #: fall per token; standard deviations taken off.
 ROWS_PER_CLASS, PRIOR, LEAST, DRIFT, SURE = 2500, 0.1, 4, 1.0, 1.64
-#: Most features in the broadcast model (about 100 bytes each); reported segments have fewer chance copies expected.
-MOST_FEATURES, E_MAX = 200_000, 0.01
-#: Segments in the sum (the r best decide; more add no more than -log E = MOST, where the fit is flat).
-R_MOST, MOST = 64, 40.0
-#: Score from which a text is called toxic.
-CUT = 0.3
+#: Reported segments have fewer chance copies expected; score from which a text is called toxic.
+E_MAX, CUT = 0.01, 0.3
 PREFIXES = (6, 5, 4)
-#: The same words for Spark's regular expressions.
-WORD = r"[\p{L}\p{M}]+"
-_SPLIT = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+#: Words are runs of letters and marks. For texts of characters below U+0250 only the letters are written out, as the re
+#: module is faster; there are no marks among them.
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_PLAIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-\u024f]+")
+_OTHER = re.compile("[^\x00-\u024f]")
 SEGMENTS = "struct<n_words:bigint,surprise:double,segments:array<struct<a:int,b:int,s:double>>>"
 
 
 def tokens(text: str) -> list[str]:
-    return _SPLIT.findall(text.lower())
+    low = text.lower()
+    return (_WORD if _OTHER.search(low) else _PLAIN).findall(low)
 
 
 @dataclass
@@ -67,13 +72,13 @@ class Model:
         return -DRIFT
 
     def surprise(self, scores: list[float], n: int) -> float:
-        """-log E of the scores of a text's segments among n words; from 0 to MOST."""
+        """-log E of the scores of a text's segments among n words, by the r best of them for that r at which it is highest."""
         one, best, total = math.log(self.k * max(n, 1)), 0.0, 0.0
-        for r, x in enumerate(sorted(scores, reverse=True)[:R_MOST], 1):
+        for r, x in enumerate(sorted(scores, reverse=True), 1):
             total += self.lam * x - one
             if total > 0:
                 best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
-        return min(best, MOST)
+        return best
 
 
 class Scores(dict):
@@ -118,10 +123,6 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r in cand]
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
-
-
 def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """Texts and labels y (0 or 1) of about ``rows_per_class`` labelled documents of each class, chosen by a hash of the id.
 
@@ -135,36 +136,47 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
     return docs.select("doc_id", "text").join(F.broadcast(known.filter(chosen)), "doc_id").select("y", "text").filter(F.col("text").isNotNull()).distinct()
 
 
+def _features(w: str) -> list[str]:
+    return [w, *(f"{w[:n]}*" for n in PREFIXES if len(w) >= n)]
+
+
+def odds(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Lower bounds of the log-odds of features; counts: of each feature in clean and in toxic rows, LEAST or more in sum.
+
+    Kept are the features over DRIFT and those that hide the toxic prefix of their words.
+    """
+    n0, n1 = (sum(n[y] for f, n in counts.items() if not f.endswith("*")) for y in (0, 1))
+    if not n0 or not n1:
+        return {}
+    a0, out = PRIOR * (n0 + n1), {}
+    for f, (c0, c1) in counts.items():
+        a = PRIOR * (c0 + c1)
+        value = math.log((c1 + a) / (n1 + a0 - c1 - a)) - math.log((c0 + a) / (n0 + a0 - c0 - a))
+        out[f] = value - SURE * math.sqrt(1 / (c1 + a) + 1 / (c0 + a))
+    high = {f for f, s in out.items() if s > DRIFT}
+    return {f: s for f, s in out.items() if f in high or any(p in high and p != f for p in _features(f.rstrip("*"))[1:])}
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """The model learned from a bounded sample of labelled documents."""
-    rows = sample(docs, labels, rows_per_class).persist()
-    try:
-        near = let(_words(F.col("text")), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("w"), F.when(i > 0, F.get(w, i - 1)).alias("p"))))
-        pairs = rows.select("y", F.explode(near).alias("z")).select("y", "z.w", "z.p").distinct()
-        word = pairs.groupBy("w").agg(F.sum("y").cast("double").alias("n1"), F.sum(1 - F.col("y")).cast("double").alias("n0"))
-        feats = word.select(F.explode(F.array(F.col("w"), *(F.when(F.length("w") >= k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES))).alias("f"), "n1", "n0")
-        feats = feats.filter(F.col("f").isNotNull()).groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        feats = feats.filter(F.col("n1") + F.col("n0") >= LEAST).persist()
-        n1, n0 = (x or 0.0 for x in feats.filter(~F.endswith("f", F.lit("*"))).agg(F.sum("n1"), F.sum("n0")).first())
-        if not n1 or not n0:
-            return Model()
-        a = F.lit(PRIOR) * (F.col("n1") + F.col("n0"))
-        a0 = PRIOR * (n1 + n0)
-        odds = F.log((F.col("n1") + a) / (n1 + a0 - F.col("n1") - a)) - F.log((F.col("n0") + a) / (n0 + a0 - F.col("n0") - a))
-        deviation = F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-        feats = feats.select("f", (odds - SURE * deviation).alias("s"), (F.col("n1") + F.col("n0")).alias("n"))
-        high = feats.filter(F.col("s") > DRIFT).orderBy(F.desc("n"), "f").limit(MOST_FEATURES)
-        m = Model({r.f: r.s for r in high.collect()})
-        # a more specific feature that isn't toxic hides the toxic prefix of its word
-        starts = [f for f in m.odds if f.endswith("*")]
-        if starts:
-            low = feats.filter(F.col("s") <= DRIFT).withColumn("g", F.explode(F.array(*(F.concat(F.substring("f", 1, k), F.lit("*")) for k in PREFIXES)))).filter(F.col("g") != F.col("f"))
-            low = low.join(F.broadcast(rows.sparkSession.createDataFrame([(f,) for f in starts], "g string")), "g", "left_semi")
-            m.odds.update({r.f: r.s for r in low.select("f", "s", "n").distinct().orderBy(F.desc("n"), "f").limit(MOST_FEATURES).collect()})
-        seen = rows.select("y", scan(rows.sparkSession, m, F.col("text"), all_segments=True).alias("h")).select("y", "h.n_words", F.transform("h.segments", lambda x: x["s"]).alias("s"))
-        return calibrate(m, [(r.y, r.n_words, r.s) for r in seen.toLocalIterator()])
-    finally:
-        rows.unpersist()
+    """The model learned from a bounded sample of labelled documents; features with their counts come to the driver."""
+    rows = sample(docs, labels, rows_per_class)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = tokens(t)
+                found = sorted(set(zip(ws, ["", *ws])))
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["y", "w", "p"])
+
+    word = rows.select(F.col("y").cast("int"), "text").mapInArrow(pairs, "y int, w string, p string").distinct()
+    word = word.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+    prefixes = [F.when(F.length("w") >= k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES]
+    feats = word.select(F.explode(F.array_compact(F.array("w", *prefixes))).alias("f"), "n0", "n1").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    m = Model(odds({r.f: (float(r.n0), float(r.n1)) for r in feats.filter(F.col("n0") + F.col("n1") >= LEAST).toLocalIterator()}))
+    if not m.odds:
+        return Model()
+    found = rows.select("y", scan(rows.sparkSession, m, F.col("text"), all_segments=True).alias("h")).select("y", "h.n_words", F.transform("h.segments", lambda x: x["s"]).alias("s"))
+    return calibrate(m, [(r.y, r.n_words, r.s) for r in found.toLocalIterator()])
 
 
 def calibrate(m: Model, seen: list[tuple[int, int, list[float]]]) -> Model:
@@ -218,6 +230,7 @@ def probability(model: Model, surprise: Column) -> Column:
 
 def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_segments of every whole text; a null id is not held out nor learned from."""
+    small_batches(spark)
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     m = fit(docs.filter(~held_out), labels.filter(~held_out))
     d = docs.select("doc_id", held_out.alias("held_out"), scan(spark, m, F.col("text")).alias("h"))
