@@ -2,25 +2,32 @@ r"""Near-duplicates with an LSH forest over MinHash signatures (operator 2).
 
 A document's set holds its distinct 5-word shingles (64-bit hashes). Documents with equal sets form a class at once. Each
 class representative gets TREES labels of DEPTH minima; a tree is the list of all labels in sorted order. Neighbours in a
-tree share its longest common prefixes, so the depth adapts itself to each region: where fewer than WINDOW labels share
-LEAST_DEPTH minima all of them become candidates of each other, in a dense region only those that agree deepest (the
-nearest on either side, in each of the trees). The sorted orders are dealt by range of (label, id), so a label shared by a
-third of all rows is spread over many tasks, and the number of candidates grows with the number of documents only.
-
-Every link is confirmed on the full sets. That takes three steps: first each document's most frequent candidate; then the
-other candidates that aren't connected by then, where their signatures agree in EST_LEAST of the minima; then an exact pass
-over what is left. The first steps only join most of a dense region into one component cheaply: no link depends on them.
-
-The exact pass is a prefix filter. The shingles of a set are put in one global order, rarest of a sample first; two sets of
-similarity 0.75 share one of the first quarter (and one more) of each. Documents that meet at such a shingle and lie in
-different components are paired unless their sizes, the places of the shingle in both orders or, at a common shingle, the
-counts of their shingles in BUCKETS buckets rule a link out; each is an upper bound of the overlap, so no link is lost and
-there is no window. The order is right whatever the sample; the sample only keeps common passages out of the prefixes.
-Components are found by passing minima along the links, in rounds that are cut by written tables.
+tree share its longest common prefixes, and the depth adapts itself to each region: a label's depth is the least number of
+minima, from LEAST_DEPTH on, that at most REGION labels share with it, and all pairs of that region are candidates. The
+sorted orders are dealt by range of (label, id), so a label shared by a third of all rows is spread over many tasks; the
+rows at the borders of the ranges are swept once more, together. The number of candidates grows with the number of
+documents only. Every candidate is confirmed on the full sets.
+
+A pair of similarity 0.75 shares d minima of a label with probability 0.75 ** d, so the depths of a document tell the
+probability that all TREES trees miss one of its links. Where all depths are LEAST_DEPTH that is 2e-9. Documents of dense
+regions, for which it exceeds MISS (or whose regions stay large at DEPTH), are open: links between two open documents are
+found by an exact pass, so no region has a window or a cap. The forest's candidates only join most of such a region cheaply.
+
+The exact pass is a prefix filter. The shingles of an open set are put in one global order, rarest of a sample first; two
+sets of similarity 0.75 share one of the first quarter (and one more) of each. Documents that meet at such a shingle and lie
+in different components are paired unless their sizes, the places of the shingle in both orders or, at a common shingle, the
+counts of their shingles in BUCKETS buckets rule a link out; each is an upper bound of the overlap, so no link is lost. The
+order is right whatever the sample; the sample only keeps common passages out of the prefixes. A shingle that is common and
+yet in prefixes is cut into blocks of documents, and each pair of blocks is a unit of work of its own.
+
+Components are found by passing minima along the links, in rounds that are cut by written tables. No join has a hot key: a
+set with a third of all rows and a hub of links are dealt over SALTS tasks.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; a text of fewer than five words is one
 shingle; exact copies and repeated rows share a class; rows with one id count as one document with any of its texts; a null
-id takes part through its class, and is its own component if it has none; an empty table gives an empty result.
+id takes part through its class, and is its own component if it has none; texts are read whole, whatever their length; of
+ties the smallest id stands for a component; other columns than doc_id and text are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -34,19 +41,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-from terrafold.llm.common import keep, near_share
+from terrafold.llm.common import SALTS, drop, keep, near_share, semi, small_batches, spread_min
 
-#: Words of a shingle; similarity of a link in percent; trees, minima in a label, least shared minima, neighbours looked at.
-SHINGLE, PERCENT, TREES, DEPTH, LEAST_DEPTH, WINDOW, DENSE = 5, 75, 24, 5, 2, 8, 2
+#: Words of a shingle; similarity of a link in percent; trees, minima in a label, least shared minima, labels of a region.
+SHINGLE, PERCENT, TREES, DEPTH, LEAST_DEPTH, REGION = 5, 75, 24, 5, 2, 9
+#: Probability of a missed link from which a document is open.
+MISS = 1e-6
 #: Buckets of the counts that bound an overlap; runs longer than this are paired class by class; pairs made at a time.
 BUCKETS, LONG_RUN, AT_ONCE = 256, 64, 1 << 20
-#: Documents whose shingles give the global order; shingles that count as common there, at most.
+#: Open documents whose shingles give the global order; shingles that count as common there, at most.
 SAMPLE_ROWS, COMMON = 4000, 100_000
-#: Least agreement of two signatures for the second step.
-EST_LEAST = 0.56
+#: Documents of a block of a common shingle, about; blocks at most (more only make blocks larger).
+BLOCK_ROWS, MOST_BLOCKS = 2000, 64
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>, prefix binary, buckets binary"
+SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>"
+SWEPT = "kind string, a bigint, b bigint, key binary"
 
 
 class _Words(dict):
@@ -114,19 +125,19 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most common shingles of a bounded sample, and their counts: (2, n)."""
-    share = SAMPLE_ROWS / max(1, docs.count())
+def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, float]:
+    """Sorted hashes of the most common shingles of a bounded sample of the n sets, with their counts: (2, k); the share sampled."""
+    share = min(1.0, SAMPLE_ROWS / max(1, n))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["s"])
+            for s in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), np.int64))], ["s"])
 
-    n = docs.filter(near_share(docs, "doc_id", share)).select("text").mapInArrow(task, "s bigint").groupBy("s").agg(F.count("*").alias("n"))
-    top = n.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    found = sets.filter(near_share(sets, "id", share)).select("s").mapInArrow(task, "s bigint").groupBy("s").agg(F.count("*").alias("n"))
+    top = found.filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).collect()
     found = np.array([(r.s, r.n) for r in top], np.int64).reshape(-1, 2).T.copy().view(np.uint64)
-    return found[:, np.argsort(found[0])]
+    return found[:, np.argsort(found[0])], share
 
 
 def _times(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -142,72 +153,132 @@ def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, _times(s, common)))][: len(s) - -(-PERCENT * len(s) // 100) + 1]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tree = np.arange(TREES, dtype=">u4")
     for b in batches:
         texts = b.column(1)
-        for lo in range(0, len(texts), 512):
-            part = texts.slice(lo, 512)
+        for lo in range(0, len(texts), 256):
+            part = texts.slice(lo, 256)
             sets = [shingles(t.as_py()) for t in part]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[list[bytes] | None] = [None] * len(sets)
-            first: list[bytes | None] = [None] * len(sets)
-            buckets: list[bytes | None] = [None] * len(sets)
             for i, sig in zip(some, signatures([sets[i] for i in some]), strict=True):
-                first[i] = prefix(sets[i], common).tobytes()
-                buckets[i] = np.bincount((sets[i] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes()
                 rows = np.concatenate([tree[:, None], sig.reshape(TREES, DEPTH).astype(">u4")], 1).tobytes()
                 keys[i] = [rows[j : j + 4 * DEPTH + 4] for j in range(0, len(rows), 4 * DEPTH + 4)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(first, pa.binary()), pa.array(buckets, pa.binary())],
-                ["doc_id", "n_shingles", "set", "keys", "prefix", "buckets"],
+                [b.column(0).slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.binary()))],
+                ["doc_id", "n_shingles", "set", "keys"],
             )
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in a sorted run of (key, id)."""
-    words = DEPTH + 1
-    labels, ids, seen = np.zeros((0, words), ">u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        old = len(ids)
-        labels = np.concatenate([labels, np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u4").reshape(-1, words)])
-        ids = np.concatenate([ids, batch.column(1).to_numpy()])
-        pairs = []
-        deep = {}
-        for r in range(1, WINDOW + 1):
-            same = labels[r:, : LEAST_DEPTH + 1] == labels[:-r, : LEAST_DEPTH + 1] if len(ids) > r else np.zeros((0, 1), bool)
-            near = np.zeros(len(ids), bool)
-            near[r:] = same.all(1)
-            deep[r] = near
-        dense = deep[WINDOW]
-        for r, near in deep.items():
-            if r > DENSE:
-                near = near & ~dense
-            i = np.flatnonzero(near)
-            i = i[i >= old]
-            pairs.append(np.stack([ids[i - r], ids[i]], 1))
-        p = np.concatenate(pairs)
+class _Order:
+    """A stretch of a sorted order of (key, id) rows, and the region of each row in it."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        self.keys, self.ids, n = keys, ids, len(ids)
+        #: number of minima that a row shares with the one before it; -1 for another tree
+        self.shared = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1) - 1 if n > 1 else np.zeros(0, np.int64)
+        #: least depth at which a row's region is small, 0 if there is none; first and last row of that region
+        self.depth, self.first, self.last = np.zeros(n, np.int64), np.arange(n), np.arange(n)
+        for d in range(DEPTH, LEAST_DEPTH - 1, -1):
+            cut = np.concatenate([np.ones(min(n, 1), bool), self.shared < d])
+            run = np.cumsum(cut) - 1
+            first = np.flatnonzero(cut)
+            last = np.append(first[1:], [n] * min(n, 1)).astype(np.int64) - 1
+            small = (last - first + 1 <= REGION)[run]
+            self.depth[small], self.first[small], self.last[small] = d, first[run[small]], last[run[small]]
+
+    def pairs(self, lo: int, hi: int) -> np.ndarray:
+        """Pairs of each of the rows lo to hi with the earlier ones of its region; with its neighbour where that is large."""
+        i = np.arange(lo, hi)
+        out = [np.stack([self.ids[j - r], self.ids[j]], 1) for r in range(1, REGION) if len(j := i[(self.depth[i] > 0) & (i - r >= self.first[i])])]
+        j = i[(self.depth[i] == 0) & (i > 0)]
+        j = j[self.shared[j - 1] >= LEAST_DEPTH]
+        p = np.concatenate([*out, np.stack([self.ids[j - 1], self.ids[j]], 1)])
         p.sort(axis=1)
-        p = p[p[:, 0] != p[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-        labels, ids = labels[-WINDOW:], ids[-WINDOW:]
+        return p
+
 
+def _swept(kind: str, a: np.ndarray, b: np.ndarray, keys: list[bytes] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys or [None] * len(a), pa.binary())], ["kind", "a", "b", "key"])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], border: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) in sorted order: candidate pairs ("pair", ids), depths other than the least ("depth", id, depth or 0)
+    and the first and last rows ("border", id, whether its region goes to the end of this stretch, key).
+
+    border: the rows are those of the borders of all stretches, with that mark as a third column; only marked rows' depths
+    are given.
+    """
+    words, around = DEPTH + 1, REGION + 1
+    held = _Order(np.zeros((0, words), ">u4"), np.zeros(0, np.int64))
+    marks = np.zeros(0, bool)
+    done = at = 0  # rows of the buffer that are settled; rows that left it
+
+    def settle(lo: int, hi: int, n: int | None) -> Iterator[pa.RecordBatch]:
+        """What is known of rows lo to hi of the buffer; n: rows of the whole stretch, where its end is in sight."""
+        if hi <= lo:
+            return
+        p = held.pairs(lo, hi)
+        if len(p):
+            yield _swept("pair", p[:, 0], p[:, 1])
+        i = np.arange(lo, hi)
+        # a small region that goes to an end of the stretch may be larger than it looks
+        late = (held.depth[i] > 0) & ((at + held.first[i] == 0) | (at + held.last[i] + 1 == (n if n is not None else -1)))
+        told = i[marks[i] if border else ~late]
+        told = told[held.depth[told] != LEAST_DEPTH]
+        if len(told):
+            yield _swept("depth", held.ids[told], held.depth[told])
+        if not border:
+            end = (at + i < around) | ((at + i >= n - around) if n is not None else False)
+            if len(k := i[end]):
+                yield _swept("border", held.ids[k], late[end].astype(np.int64), [x.tobytes() for x in held.keys[k]])
 
-def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix: shingle, id, component, set size and place; the buckets at a common one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u4").reshape(-1, words)
+        held = _Order(np.concatenate([held.keys, keys]), np.concatenate([held.ids, batch.column(1).to_numpy()]))
+        if border:
+            marks = np.concatenate([marks, batch.column(2).to_numpy() > 0])
+        # a row is settled when as many rows as a region has, and those of a border, are known behind it
+        upto = max(done, len(held.ids) - 2 * around)
+        yield from settle(done, upto, None)
+        out = max(0, upto - around)
+        held, marks = _Order(held.keys[out:], held.ids[out:]), marks[out:]
+        done, at = upto - out, at + out
+    yield from settle(done, len(held.ids), at + len(held.ids))
+
+
+def _entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, share: float) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix: unit of work, id, component, set size and place; the buckets at a common one.
+
+    The unit is the shingle; for one with more than BLOCK_ROWS documents, by the sample, it is a pair of blocks of them, and
+    a document stands in all pairs of its block. block: -1 in a unit where all pairs count, else only those of two blocks do.
+    """
     for b in batches:
-        for lo in range(0, b.num_rows, 512):
-            part = b.slice(lo, 512)
-            firsts = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
+            ids = part.column(0).to_numpy()
+            firsts = [prefix(s, common) for s in sets]
             long = np.array([len(f) for f in firsts])
             s = np.concatenate(firsts)
             of = np.repeat(np.arange(len(firsts)), long)
             at = np.arange(len(s)) - np.repeat(np.cumsum(long) - long, long)
-            size = part.column(3).to_numpy()[of]
-            buckets = part.column(4).take(pa.array(np.where(_times(s, common) > 0, of, -1), mask=_times(s, common) == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(size << 32 | at), buckets], ["s", "id", "comp", "place", "buckets"])
+            place = np.array([len(x) for x in sets])[of] << 32 | at
+            times = _times(s, common)
+            blocks = np.clip(np.ceil(times / share / BLOCK_ROWS), 1, MOST_BLOCKS).astype(np.int64)
+            own = (ids.view(np.uint64) * _MUL >> np.uint64(40)).astype(np.int64)[of] % blocks
+            copies = np.repeat(np.arange(len(s)), blocks)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            x, y = np.minimum(own[copies], other), np.maximum(own[copies], other)
+            unit = s[copies] + (x * MOST_BLOCKS + y).astype(np.uint64) * _MIX
+            block = np.where(x == y, -1, own[copies])
+            counted = [np.bincount((v % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes() for v in sets]
+            buckets = pa.array(counted, pa.binary()).take(pa.array(of[copies], mask=times[copies] == 0))
+            take = lambda c: part.column(c).take(pa.array(of[copies]))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), take(0), take(1), pa.array(place[copies]), buckets, pa.array(block)], ["s", "id", "comp", "place", "buckets", "block"])
 
 
 def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
@@ -215,7 +286,7 @@ def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> n
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * np.minimum(n - at, m - bt) >= PERCENT * (n + m))
 
 
-def _long_run(ids: np.ndarray, comp: np.ndarray, place: np.ndarray, buckets: list[bytes | None]) -> Iterator[np.ndarray]:
+def _long_run(ids: np.ndarray, comp: np.ndarray, place: np.ndarray, block: np.ndarray, buckets: list[bytes | None]) -> Iterator[np.ndarray]:
     """Pairs of a long run. Members with equal sizes and places are ruled out together; the largest component isn't paired with itself."""
     kinds, counts = np.unique(comp, return_counts=True)
     if len(kinds) == 1:
@@ -233,39 +304,40 @@ def _long_run(ids: np.ndarray, comp: np.ndarray, place: np.ndarray, buckets: lis
         right = np.concatenate([members[d] for d in np.flatnonzero(_may_link(n[c], at[c], n, at))] or [rows[:0]])
         step = max(1, (AT_ONCE >> (7 if vec is not None else 0)) // max(1, len(right)))
         for lo in range(0, len(left), step):
-            i, j = np.nonzero((comp[left[lo : lo + step], None] != comp[right]) & (own[right] | (left[lo : lo + step, None] < right)))
+            x = left[lo : lo + step, None]
+            i, j = np.nonzero((comp[x] != comp[right]) & (own[right] | (x < right)) & ((block[x] != block[right]) | (block[x] < 0)))
             i, j = left[lo + i], right[j]
             if vec is not None:
                 ok = np.empty(len(i), bool)
                 for k in range(0, len(i), 1 << 14):
-                    x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                    most = np.minimum(vec[x], vec[y]).sum(1, dtype=np.int64)
-                    ok[k : k + (1 << 14)] = ((100 + PERCENT) * most >= PERCENT * ((place[x] >> 32) + (place[y] >> 32))) | full[x] | full[y]
+                    u, v = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    most = np.minimum(vec[u], vec[v]).sum(1, dtype=np.int64)
+                    ok[k : k + (1 << 14)] = ((100 + PERCENT) * most >= PERCENT * ((place[u] >> 32) + (place[v] >> 32))) | full[u] | full[v]
                 i, j = i[ok], j[ok]
             if len(i):
                 yield np.stack([ids[i], ids[j]], 1)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that meet at a shingle of both prefixes, in rows sorted by shingle, if a link is possible."""
+    """Pairs of different components that meet at a shingle of both prefixes, in rows sorted by unit, if a link is possible."""
 
     def out(p: np.ndarray) -> pa.RecordBatch:
         p.sort(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
     def runs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        s, ids, comp, place = (t.column(c).to_numpy() for c in range(4))
+        s, ids, comp, place, block = (t.column(c).to_numpy() for c in (0, 1, 2, 3, 5))
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         sizes = np.diff(np.append(starts, len(s)))
         size = np.repeat(sizes, sizes)
         n, at = place >> 32, place & 0xFFFFFFFF
         for r in range(1, min(LONG_RUN, int(sizes.max()))):
-            i = np.flatnonzero((s[r:] == s[:-r]) & (comp[r:] != comp[:-r]) & (size[r:] <= LONG_RUN)) + r
+            i = np.flatnonzero((s[r:] == s[:-r]) & (comp[r:] != comp[:-r]) & (size[r:] <= LONG_RUN) & ((block[r:] != block[:-r]) | (block[r:] < 0))) + r
             i = i[_may_link(n[i], at[i], n[i - r], at[i - r])]
             if len(i):
                 yield out(np.stack([ids[i - r], ids[i]], 1))
         for a, k in zip(starts[sizes > LONG_RUN], sizes[sizes > LONG_RUN], strict=True):
-            for p in _long_run(ids[a : a + k], comp[a : a + k], place[a : a + k], t.column(4).slice(a, k).to_pylist()):
+            for p in _long_run(ids[a : a + k], comp[a : a + k], place[a : a + k], block[a : a + k], t.column(4).slice(a, k).to_pylist()):
                 yield out(p)
 
     held: list[pa.RecordBatch] = []
@@ -305,97 +377,88 @@ def _linked(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-@F.arrow_udf(T.BooleanType())
-def _possible(x: pa.Array, y: pa.Array) -> pa.Array:
-    """Whether two signatures, as their labels in one string, agree in EST_LEAST of the minima."""
-    out = []
-    for a, b in zip(x, y, strict=True):
-        a, b = (np.frombuffer(v.as_py(), ">u4").reshape(TREES, DEPTH + 1)[:, 1:] for v in (a, b))
-        out.append(bool((a == b).mean() >= EST_LEAST))
-    return pa.array(out, pa.bool_())
-
-
-@F.arrow_udf(T.BooleanType())
-def _fits(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
-    """Whether the bucket counts of sets of sizes n and m leave a link possible: an upper bound of the overlap."""
-    out = []
-    for a, i, b, j in zip(x.to_pylist(), n.to_pylist(), y.to_pylist(), m.to_pylist(), strict=True):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        out.append(bool((100 + PERCENT) * int(np.minimum(a, b).sum(dtype=np.int64)) >= PERCENT * (i + j) or a.max() == 255 or b.max() == 255))
-    return pa.array(out, pa.bool_())
-
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, s): the full sets of the documents of n ids or fewer, kept."""
+    return keep(semi(docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", n).mapInArrow(_sets, "id bigint, s binary"), "sets")
 
-def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, s): the full sets of all documents in pairs, made once for all steps; the text is shuffled once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return keep(text.mapInArrow(_sets, "id bigint, s binary"), "sets")
 
-
-def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked by their full sets."""
+def confirmed(sets: DataFrame, pairs: DataFrame, n: int | None = None) -> DataFrame:
+    """Those of the (n) pairs (a, b) that are linked by their full sets, kept."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return keep(both.filter(_linked("x", "y")).select("a", "b").distinct(), "links")
+    return keep(both.filter(_linked("x", "y")).select("a", "b").distinct(), "links", n)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id of a table of links (a, b) reaches.
+    """A kept table (id, component): the smallest id that each id of a written table of links (a, b) reaches.
 
     In each round every node tells its neighbours the smallest id in sight, and links are redrawn to it, until nothing
-    changes; links are a set, so their number never exceeds twice the first one. Aggregation is partial before the shuffle.
+    changes; links are a set, so their number never exceeds twice the first one.
     """
-    edges = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = None
+    n = 2 * links.count()
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now, state = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", n), None
     while True:
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        told = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = told.union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
-        new = keep(new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        now = new.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.countDistinct("a")).first()
-        if tuple(now) == state and now[0] == now[2]:
-            return new.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        state = tuple(now)
-        edges = new.union(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        told = spread_min(both(now), "a", "b", "m", "b").withColumn("m", F.least("a", "m"))
+        told = told.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        new = keep(told.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n)
+        drop(now)
+        now, of = new, new.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.count_distinct("a")).first()
+        if tuple(of) == state and of[0] == of[2]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        state = tuple(of)
+
+
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs (a, b) of the forest and the open documents (id); reps: id, keys."""
+    n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = reps.select(F.explode("keys").alias("key"), "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    swept = keep(order.mapInArrow(_sweep, SWEPT), "swept")
+    ends = swept.filter("kind = 'border'").select("key", F.col("a").alias("id"), F.col("b").alias("mark"))
+    ends = ends.repartition(1).sortWithinPartitions("key", "id")  # a few rows of each task of the sweep
+    swept = swept.filter("kind <> 'border'").union(ends.mapInArrow(lambda b: _sweep(b, True), SWEPT))
+    pairs = swept.filter("kind = 'pair'").select("a", "b").distinct()
+    more = F.when(F.col("b") == 0, 0.0).otherwise(F.log1p(-F.pow(F.lit(PERCENT / 100), F.col("b"))))
+    miss = F.sum(more) + (TREES - F.count("*")) * float(np.log1p(-((PERCENT / 100) ** LEAST_DEPTH)))
+    left = swept.filter("kind = 'depth'").groupBy("a").agg(miss.alias("miss")).filter(F.col("miss") > float(np.log(MISS)))
+    return pairs, keep(left.select(F.col("a").alias("id")), "open")
+
+
+def exact_pairs(sets: DataFrame, comp: DataFrame, left: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of the n open documents (left) of different components that an upper bound lets be linked."""
+    own = semi(sets, left, "id", n)
+    common, share = common_shingles(own, n)
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+    meet = own.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "s")
+    meet = meet.mapInArrow(lambda b: _entries(b, shared.value, share), "s bigint, id bigint, comp bigint, place bigint, buckets binary, block bigint")
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return meet.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_meet, "a bigint, b bigint").distinct()
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    sketch = keep(docs.mapInArrow(lambda b: _sketch(b, common.value), SKETCH), "sketch")
-    classes = sketch.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("class"))
-    rows = keep(sketch.select("doc_id", "n_shingles", "set").join(classes, "set", "left").select("doc_id", "n_shingles", "class"), "rows")
-    reps = sketch.join(classes.select(F.col("set").alias("own"), "class"), (F.col("set") == F.col("own")) & (F.col("doc_id") == F.col("class")))
-    reps = reps.select(F.col("doc_id").alias("id"), "keys", "prefix", "buckets", F.col("n_shingles").alias("size")).dropDuplicates(["id"])
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = reps.select(F.explode("keys").alias("key"), "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    pairs = keep(order.mapInArrow(_sweep, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-
-    first = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.struct("n", (-F.xxhash64("b")).alias("h"), F.col("b").alias("v")).alias("w")), F.struct(F.col("b").alias("u"), F.struct("n", (-F.xxhash64("a")).alias("h"), F.col("a").alias("v")).alias("w")))).alias("x"))
-    first = first.groupBy("x.u").agg(F.max("x.w").alias("w")).select(F.least("u", "w.v").alias("a"), F.greatest("u", "w.v").alias("b")).distinct()
-    first = keep(first, "first")
-    sets = sets_of(docs, pairs)
-    comp = components(confirmed(sets, first))
-
-    def joined(comp: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Components after the links among pairs of different components whose signatures leave one possible."""
-        sig = reps.select("id", F.array_join(F.transform("keys", lambda k: F.hex(k)), "").alias("s")).select("id", F.unhex("s").alias("s"))
-        p = pairs.join(sig.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        links = confirmed(sets, keep(p.filter(_possible("x", "y")).select("a", "b"), "rest"))
-        return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-
-    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    comp = joined(comp, rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    meet = reps.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "prefix", "size", "buckets")
-    meet = meet.mapInArrow(lambda b: _entries(b, common.value), "s bigint, id bigint, comp bigint, place bigint, buckets binary")
-    meet = keep(meet.repartition(n, "s").sortWithinPartitions("s").mapInArrow(_meet, "a bigint, b bigint").distinct(), "meet")
-    counts = lambda c, v, z: reps.select(F.col("id").alias(c), F.col("buckets").alias(v), F.col("size").alias(z))
-    meet = keep(meet.join(counts("a", "x", "n"), "a").join(counts("b", "y", "m"), "b").filter(_fits("x", "n", "y", "m")).select("a", "b"), "meet")
-    links = confirmed(sets_of(docs, meet), meet)
-    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-    out = rows.join(comp.select(F.col("id").alias("class"), "component"), "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+    small_batches(docs.sparkSession)
+    sketch = keep(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    # (set, salt): the rows of a set are dealt over SALTS salts, which meet in a row each
+    salted = sketch.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sets = salted.filter("set IS NOT NULL").groupBy("set", "salt").agg(F.min("doc_id").alias("least"))
+    sets = keep(sets.withColumn("class", F.min("least").over(Window.partitionBy("set"))), "classes")
+    reps = sets.filter("least = class").groupBy(F.col("class").alias("id")).agg(F.min("set").alias("own"))
+    reps = sketch.withColumnRenamed("doc_id", "id").join(reps, "id").filter("set = own").dropDuplicates(["id"]).select("id", "keys")
+    pairs, left = candidates(reps)
+
+    n_pairs, n_left = pairs.count(), left.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(left).distinct()
+    full = sets_of(docs, ids, 2 * n_pairs + n_left)
+    links = confirmed(full, pairs, n_pairs)
+    comp = components(links)
+    more = confirmed(full, exact_pairs(full, comp, left, n_left))
+    drop(full, left)
+    if not more.isEmpty():
+        comp = components(keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "edges"))
+    sets = sets.join(comp.select(F.col("id").alias("class"), "component"), "class", "left").select("set", "salt", F.coalesce("component", "class").alias("component"))
+    out = salted.select("doc_id", "n_shingles", "set", "salt").join(sets, ["set", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -404,9 +467,12 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs, same columns, with one document of each component: that with the smallest id."""
-    gone = op2(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs, same columns, with one document of each component: that with the smallest id.
+
+    Rows without text stay; so do rows with a null id, and all rows of an id that is repeated, as ids decide.
+    """
+    gone = keep(op2(docs).filter(~F.col("kept")).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "gone")
+    return semi(docs, gone, "doc_id", gone.count(), "left_anti").select(*docs.columns)
 
 
 OP2_SQL = r"""

@@ -78,11 +78,30 @@ def test_op1_measures(docs, empty):
 
 
 def test_op1_order_never_changes_the_verdict(docs):
-    d = docs.select("doc_id", F.col("text").alias("t"), quality.measures(F.col("text")).alias("m")).select("doc_id", "t", "m.*")
+    d = neardup.keep(docs.select("doc_id", F.col("text").alias("t"), quality.measures(F.col("text")).alias("m")).select("doc_id", "t", "m.*"), "measured")
     verdicts = [[r[0] for r in d.orderBy("doc_id").select(quality.cascade(order).isNull()).collect()] for order in (quality.RULES, quality.RULES[::-1], quality.ordered(d, quality.RULES))]
     assert verdicts[0] == verdicts[1] == verdicts[2]
 
 
+def test_op1_rules_go_by_rejections_per_second(spark):
+    rows = [("x" * i, 20, 100, i % 2, 0, 4, 0) for i in range(40)] + [("base-failed", 5, 1, 9, 0, 1, 0)] * 500
+    d = neardup.keep(spark.createDataFrame(rows, "t string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_lines bigint, n_repeat_words bigint"), "measured")
+    slow = quality.Rule("slow", "n_symbols = 1 AND size(transform(sequence(1, 200000), x -> sqrt(x))) > 0")
+    rules = [quality.Rule("many", "n_words = 5"), slow, quality.Rule("one", "n_symbols = 1"), quality.Rule("rest", "length(t) IN (4, 5)")]
+    # what only base-failed rows fail rejects nothing; of rules with the same rejections the slow one goes last
+    got = [r.name for r in quality.ordered(d, rules)]
+    assert got[0] == "one" and got[1] == "rest" and set(got[2:]) == {"many", "slow"}
+
+
+def test_op1_sample_is_of_a_few_files(spark, tmp_path):
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).repartition(16).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    few = quality.sample(d, 100)
+    assert 40 < few.count() < 200 and few.select("_metadata.file_name").distinct().count() <= 4
+    joined = quality.sample(d.join(spark.range(4000).withColumnRenamed("id", "doc_id"), "doc_id"), 100)
+    assert 40 < joined.count() < 200
+
+
 def shingles(t):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
@@ -257,6 +276,71 @@ def test_op7_finds_held_out_toxic_texts(spark):
     assert toxicity.op7(spark, d, lab.filter("false")).filter("predicted = 1").count() == 0
 
 
+def test_op7_words_are_runs_of_letters_and_marks():
+    assert toxicity.tokens("Don't x² हिन्दी தமிழ் שָׁלוֹם ab_c1d É") == ["don", "t", "x", "हिन्दी", "தமிழ்", "שָׁלוֹם", "ab", "c", "d", "é"]
+    r = random.Random(4)
+    for _ in range(300):
+        t = "".join(chr(r.choice([r.randrange(0x20, 0x250), r.randrange(0x20, 0x80)])) for _ in range(60))
+        assert toxicity.tokens(t) == toxicity._WORD.findall(t.lower())
+
+
+def test_op7_model_like_plain_counts(spark):
+    """Odds, calibration and scores by the formulas of the docstring, over plain Python collections."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcde") for _ in range(r.randrange(3, 9))) for _ in range(60)]
+    bad = ["nastyword", "nastier", "foulmouth", "foul"]
+    rows, labels = [], []
+    for i in range(200):
+        t = [r.choice(vocab) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(3):
+                t[r.randrange(40)] = r.choice(bad)
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    y = {i: v for i, _, v in labels}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    pairs = {(y[i], w, p) for i in train for w, p in zip(rows[i][1].split(), ["", *rows[i][1].split()])}
+    n = {0: collections.Counter(), 1: collections.Counter()}
+    for c, w, _ in pairs:
+        n[c].update([w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) >= k)])
+    feats = {f for f in n[0] | n[1] if n[0][f] + n[1][f] >= toxicity.LEAST}
+    size = [sum(n[c][f] for f in feats if "*" not in f) for c in (0, 1)]
+    def bound(f):
+        a, a0 = toxicity.PRIOR * (n[0][f] + n[1][f]), toxicity.PRIOR * sum(size)
+        o = [math.log((n[c][f] + a) / (size[c] + a0 - n[c][f] - a)) for c in (0, 1)]
+        return o[1] - o[0] - toxicity.SURE * math.sqrt(1 / (n[0][f] + a) + 1 / (n[1][f] + a))
+    d, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    keep = lambda df: df.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    m = toxicity.fit(keep(d), keep(lab))
+    assert m.odds and all(v == pytest.approx(bound(f)) for f, v in m.odds.items())
+    assert {f for f in feats if bound(f) > toxicity.DRIFT} == {f for f, v in m.odds.items() if v > toxicity.DRIFT}
+
+    def word(w):  # the most specific feature that is known
+        return next((bound(f) for f in (w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) >= k)) if f in feats), 0.0) - toxicity.DRIFT
+    def found(t):
+        return [x for _, _, x in toxicity.segments(np.array([word(w) if word(w) > 0 else m.score(w) for w in t.split()]))]
+    clean = [found(rows[i][1]) for i in train if not y[i]]
+    chance = [x for s in clean for x in s]
+    lam = 1 / max(0.25, sum(chance) / len(chance)) if chance else 1.0
+    assert m.lam == pytest.approx(lam) and m.k == pytest.approx((len(chance) + 1) / (40 * len(clean)))
+
+    def surprise(s):  # the expected number of chance sets of r segments with so high a sum
+        s, best = sorted(s, reverse=True), 0.0
+        for k in range(1, len(s) + 1):
+            z = sum(m.lam * x - math.log(m.k * 40) for x in s[:k])
+            if z > 0:
+                best = max(best, -math.log(math.exp(-z) * z ** (k - 1) / (math.factorial(k) * math.factorial(k - 1))))
+        return best
+    got = by_id(toxicity.op7(spark, d, lab))
+    for i, t in rows:
+        p = 1 / (1 + math.exp(-(m.a * surprise(found(t)) + m.b)))
+        assert got[i]["score"] == pytest.approx(p, abs=1e-9) and got[i]["predicted"] == int(p >= toxicity.CUT)
+
+
 def test_op8_like_the_other_library(docs, empty):
     import base64
 
@@ -295,6 +379,56 @@ def test_op9_tells_held_out_languages(spark, empty):
     assert [x["lang_pred"] for x in rows_of(langid.op9(spark, unlabelled))] == ["und"]
 
 
+def grams(t):
+    """n-grams of a text by their characters; runs of other characters than letters count as one space."""
+    t = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {t.lower()} "))
+    return collections.Counter(t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)) if t.strip() else collections.Counter()
+
+
+def bucket_of(g):
+    code = 0
+    for c in g:
+        code = (code * 0x01000193 + ord(c) + len(g)) % 2**32
+    return ((code ^ code >> 15) * 0x85EBCA6B % 2**32) >> (32 - langid.BITS)
+
+
+@pytest.mark.parametrize("block", [langid.BLOCK, 64, 7])
+def test_op9_counts_whole_texts(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    r = random.Random(block)
+    odd = ["", "  ", "12!", "a", "A b", "é1ü", "日本 語", *("".join(r.choice("ab É日 1-\n") for _ in range(r.randrange(200))) for _ in range(150))]
+    of, bucket, n = langid.sparse(odd)
+    got = collections.Counter()
+    for i, b, c in zip(of.tolist(), bucket.tolist(), n.tolist()):
+        got[i, b] += c
+    want = collections.Counter()
+    for i, t in enumerate(odd):
+        for g, c in grams(t).items():
+            want[i, bucket_of(g)] += c
+    assert got == want and sorted(of.tolist()) == of.tolist()
+
+
+@pytest.mark.parametrize("langs", [langid.LANGS, 2])
+def test_op9_like_plain_naive_bayes(spark, monkeypatch, langs):
+    import math
+
+    monkeypatch.setattr(langid, "LANGS", langs)
+    r = random.Random(7)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh"[k : k + 4]) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 6)))
+    rows = [(i, say(i % 5), "vwxyz"[i % 5], "s", 1, 0.1, False) for i in range(120)]
+    count = {x: collections.Counter() for x in "vwxyz"}
+    for i, t, x, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for g, c in grams(t).items():
+                count[x][bucket_of(g)] += c
+    sums = {x: sum(c.values()) + langid.ALPHA * 2**langid.BITS for x, c in count.items()}
+    for got in rows_of(langid.op9(spark, spark.createDataFrame(rows, SCHEMA))):
+        ll = {x: sum(c * math.log((count[x][bucket_of(g)] + langid.ALPHA) / sums[x]) for g, c in grams(rows[got["doc_id"]][1]).items()) for x in count}
+        best = max(ll, key=ll.get)
+        assert got["lang_pred"] == best
+        assert got["score"] == pytest.approx(1 / sum(math.exp(v - ll[best]) for v in ll.values()), rel=1e-4)
+
+
 def brute_hits(t):
     split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
     w, hit, items = split(t), set(), set()
@@ -343,9 +477,12 @@ def test_op2_finds_links_in_a_hot_region(spark):
     assert {i: x["component_id"] for i, x in got.items()} == want
 
 
-def test_op2_narrow_steps_arent_needed(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [2000, 7])
+def test_op2_exact_pass_finds_all_alone(spark, monkeypatch, blocks):
     monkeypatch.setattr(neardup, "LONG_RUN", 2)
-    monkeypatch.setattr(neardup, "_sweep", lambda batches: (b.slice(0, 0).select([1, 1]).rename_columns(["a", "b"]) for b in batches))
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", blocks)
+    nothing = lambda reps: (spark.createDataFrame([], "a bigint, b bigint"), neardup.keep(reps.select("id"), "open"))
+    monkeypatch.setattr(neardup, "candidates", nothing)
     r = random.Random(9)
     base = [f"w{r.randrange(300)}" for _ in range(120)]
     rows = []
@@ -357,6 +494,62 @@ def test_op2_narrow_steps_arent_needed(spark, monkeypatch):
     assert {i: x["component_id"] for i, x in by_id(neardup.op2(frame(spark, rows))).items()} == components(rows)[1]
 
 
+def regions(keys, ids):
+    """Candidate pairs and depths of a whole sorted order, by counting prefixes."""
+    n = len(ids)
+    count = {d: collections.Counter(k[: d + 1] for k in keys) for d in range(neardup.LEAST_DEPTH, neardup.DEPTH + 1)}
+    depth = [next((d for d in count if count[d][k[: d + 1]] <= neardup.REGION), 0) for k in keys]
+    pairs = {tuple(sorted((ids[i], ids[j]))) for i in range(n) for j in range(i) if depth[i] and keys[i][: depth[i] + 1] == keys[j][: depth[i] + 1]}
+    pairs |= {tuple(sorted((ids[i], ids[i - 1]))) for i in range(1, n) if not depth[i] and keys[i][: neardup.LEAST_DEPTH + 1] == keys[i - 1][: neardup.LEAST_DEPTH + 1]}
+    return pairs, {i: d for i, d in zip(ids, depth) if d != neardup.LEAST_DEPTH}
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 5, 40])
+def test_op2_borders_of_the_sweep_lose_nothing(cuts):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(cuts)
+    for turn in range(6):
+        keys = sorted((r.randrange(2), *(min(r.randrange(7), r.randrange(1 + turn)) for _ in range(neardup.DEPTH))) for _ in range(900))
+        ids = list(range(len(keys)))
+        r.shuffle(ids)
+        keys, ids = zip(*sorted(zip(keys, ids)))
+        want, depths = regions(keys, ids)
+        batch = lambda k, i, *more: pa.RecordBatch.from_arrays([pa.array([np.array(x, ">u4").tobytes() for x in k], pa.binary()), pa.array(i, pa.int64()), *map(pa.array, more)], ["key", "id", *["mark"] * len(more)])
+        at = sorted({0, len(ids), *(r.randrange(len(ids)) for _ in range(cuts))})
+        rows = []
+        for a, b in zip(at, at[1:]):
+            sizes = sorted({a, b, *(r.randrange(a, b + 1) for _ in range(3))})
+            for got in neardup._sweep(iter([batch(keys[x:y], ids[x:y]) for x, y in zip(sizes, sizes[1:])])):
+                rows += got.to_pylist()
+        ends = sorted((x["key"], x["a"], x["b"]) for x in rows if x["kind"] == "border")
+        for got in neardup._sweep(iter([batch([np.frombuffer(k, ">u4") for k, _, _ in ends], [i for _, i, _ in ends], [m for _, _, m in ends])]), True):
+            rows += got.to_pylist()
+        assert want <= {(x["a"], x["b"]) for x in rows if x["kind"] == "pair"}
+        told = [(x["a"], x["b"]) for x in rows if x["kind"] == "depth"]
+        assert dict(told) == depths and len(told) == len(depths)
+
+
+@pytest.mark.parametrize("shared, other", [(0.70, 0.62), (0.746, 0.72)])
+def test_op2_recall_in_a_dense_region(spark, shared, other):
+    """Documents that all are ``shared`` alike by one template, and among them pairs just over 0.75: every link is found."""
+    r = random.Random(8)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    n, few = 300, 40
+    common = round(n * 2 * shared / (1 + shared))
+    template = own(common)
+    rows = [(i, " ".join(template + own(n - common))) for i in range(1500)]
+    for k in range(few):  # the first words of the own part too, so that the two are at 0.76
+        x = rows[k][1].split(" ")
+        rows.append((5000 + k, " ".join(x[:261] + own(n - 261))))
+    sets = {i: shingles(t) for i, t in rows if i < 3 or i == 5000}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.75 <= like(0, 5000) < 0.78 and other < like(0, 1) < 0.75
+    got = {i: x["component_id"] for i, x in by_id(neardup.op2(frame(spark, rows))).items()}
+    assert got == {i: i for i in range(1500)} | {5000 + k: k for k in range(few)}
+
+
 def test_op5_takes_whole_private_keys(spark, tmp_path):
     r = random.Random(4)
     body = lambda n=20: "\n".join("".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(n)) + "\nQx7+kw=="
@@ -400,7 +593,7 @@ def test_op2_looks_further_than_a_window():
 
     n = 300  # only the first and the last row of one shingle are of like size
     size = np.array([100, *range(2000, 2000 + n - 2), 100], np.int64)
-    b = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size << 32), pa.nulls(n, pa.binary())], ["s", "id", "comp", "place", "buckets"])
+    b = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size << 32), pa.nulls(n, pa.binary()), pa.array(np.full(n, -1))], ["s", "id", "comp", "place", "buckets", "block"])
     for cuts in ([0, n], [0, 100, 200, n]):
         pairs = [(x, y) for p in neardup._meet(iter([b.slice(i, j - i) for i, j in zip(cuts, cuts[1:])])) for x, y in zip(p["a"].to_pylist(), p["b"].to_pylist())]
         assert set(pairs) == {(0, n - 1)} | {(x, y) for x in range(1, n - 1) for y in range(x + 1, n - 1)} and len(pairs) == len(set(pairs))
