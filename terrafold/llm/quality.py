@@ -1,46 +1,53 @@
 r"""Quality rules as a short-circuit cascade, in DataFrame expressions only (operator 1).
 
 Words are runs of other characters than space and \t to \r. Every text is measured whole. The base measures decide
-``base_failed``; the cascade of RULES then decides ``kept`` for the others. On a bounded sample each rule's cost (the
-characters or words it would touch, times a weight by kind of expression) and its share of rejected rows are estimated;
-rules run in the order of rejections per cost, and a row leaves the cascade at its first failed rule. The order changes
-the cost, never the verdict.
-
-Edge cases: a null or empty text has no words and fails the base rule; repeated rows are judged alike; an empty table
-gives an empty result and rules keep their written order; rules see only the columns they name, so extra columns are
-harmless. Windows are compared by a 64-bit hash of their five words.
+``base_failed``; the cascade of RULES then decides ``kept`` for the others. On a bounded sample the time that each rule
+takes and the rows that it rejects are measured; of the rules not yet placed, that with the most rejections per second
+among the rows that are left goes next. A row leaves the cascade at its first failed rule. The order changes the cost, never
+the verdict.
+
+The sample holds about SAMPLE_ROWS rows of a few files of the input, as many from each; where the files aren't known, of the
+whole input. No other file is read for it, and nothing but the sample itself is moved.
+
+Edge cases: a null or empty text has no words and fails the base rule; null and repeated ids and repeated rows are kept and
+judged alike; a rule that ties with another goes by name; an empty table gives an empty result and rules go by name; only
+doc_id and text are read, so extra columns are harmless; a long text is measured whole in one row. Windows are compared by
+a 64-bit hash of their five words.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import let, near_share
+from terrafold.llm.common import drop, keep, let
 
-#: Characters between words; words of a window; rows of the sample that orders the rules, about.
-SPACE, WINDOW, SAMPLE_ROWS = " \t\n\x0b\x0c\r", 5, 2000
+#: Characters between words; words of a window; rows of the sample that orders the rules, about; files that it is taken from.
+SPACE, WINDOW, SAMPLE_ROWS, SAMPLE_FILES = " \t\n\x0b\x0c\r", 5, 2000, 4
+#: Least time of a rule over the sample, in seconds: shorter ones can't be told from the time a job takes.
+LEAST_S = 0.002
 SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: SQL over the measures and ``t`` (the text); cost: SQL for the units of work on one row."""
+    """fails: SQL over the measures and ``t`` (the text)."""
 
     name: str
     fails: str
-    cost: str
 
 
-#: All but the base rules; cost units: 1 for arithmetic on measures, about 0.02 for each character a search passes.
+#: All but the base rules.
 RULES = [
-    Rule("digits", "5 * regexp_count(t, '[0-9]') > 2 * word_chars", "0.03 * word_chars"),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines", "1"),
-    Rule("placeholder", "locate('lorem ipsum', lower(t)) > 0", "0.02 * word_chars"),
-    Rule("symbols", "10 * n_symbols > n_words", "1"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", "1"),
+    Rule("digits", "5 * regexp_count(t, '[0-9]') > 2 * word_chars"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
+    Rule("placeholder", "locate('lorem ipsum', lower(t)) > 0"),
+    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
 ]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
@@ -81,12 +88,47 @@ def measures(text: Column) -> Column:
     return let(words(t), lambda w: let(lines, lambda ln: of(w, ln)))
 
 
-def ordered(measured: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per cost, both estimated on the rows of ``measured``; ties by name."""
-    agg = [x for r in rules for x in (F.avg(F.expr(f"CAST(({r.fails}) AS INT)")), F.avg(F.expr(f"CAST({r.cost} AS DOUBLE)")))]
-    got = measured.limit(rows).agg(*agg).first()
-    rank = {r.name: (got[2 * i] or 0.0) / max(got[2 * i + 1] or 1.0, 1e-9) for i, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-rank[r.name], r.name))
+BASE_FAILED = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+
+
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES) -> DataFrame:
+    """About ``rows`` rows of docs, of a few evenly spaced files where docs is a table of files."""
+    names = sorted({x.rsplit("/", 1)[-1] for x in docs.inputFiles()})
+    few = docs
+    if len(names) > files and "_metadata" not in docs.columns:
+        try:
+            few = docs.filter(F.col("_metadata.file_name").isin(names[:: -(-len(names) // files)]))
+        except AnalysisException:  # docs isn't a plain scan
+            pass
+    return few.sample(min(1.0, rows / max(1, few.count())), seed=7)
+
+
+def ordered(measured: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """rules by rejections per second, greedily among the rows that the rules before leave; ties by name.
+
+    measured: a written table of the text ``t`` and its measures, of a bounded number of rows; rows that the base rules
+    fail don't count. The times are those of a job for each rule less that of a job without one.
+    """
+
+    def seconds(fails: str) -> float:
+        took = []
+        for _ in range(2):  # the second run has compiled code
+            began = time.perf_counter()
+            measured.filter(f"NOT {BASE_FAILED}").agg(F.count(F.when(F.expr(fails), 1)), F.sum(F.length("t"))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    none = seconds("n_words < 0")
+    cost = {r.name: max(LEAST_S, seconds(r.fails) - none) for r in rules}
+    found = measured.filter(f"NOT {BASE_FAILED}").groupBy(F.array(*(F.expr(r.fails) for r in rules)).alias("failed")).count().collect()
+    left, out = {tuple(x.failed): x["count"] for x in found}, []
+    rest = dict(enumerate(rules))
+    while rest:
+        hits = {k: sum(n for f, n in left.items() if f[k]) for k in rest}
+        k = min(rest, key=lambda k: (-hits[k] / cost[rest[k].name], rest[k].name))
+        out.append(rest.pop(k))
+        left = {f: n for f, n in left.items() if not f[k]}
+    return out
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -99,13 +141,13 @@ def cascade(rules: list[Rule]) -> Column:
 
 def op1(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every whole text."""
-    part = docs.select("doc_id", F.col("text").alias("t"))
-    few = part.filter(near_share(part, "doc_id", 0.02)).limit(sample_rows)
-    order = ordered(few.select("t", measures(F.col("t")).alias("m")).select("t", "m.*"), rules, sample_rows)
-    d = part.select("doc_id", "t", measures(F.col("t")).alias("m")).select("doc_id", "t", "m.*")
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    kept = ~base_failed & cascade(order).isNull()
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), kept.alias("kept"))
+    few = sample(docs, sample_rows).select(F.col("text").alias("t")).repartition(1)
+    few = keep(few.select("t", measures(F.col("t")).alias("m")).select("t", "m.*"), "sample")
+    order = ordered(few, rules)
+    drop(few)
+    d = docs.select("doc_id", F.col("text").alias("t"), measures(F.col("text")).alias("m")).select("doc_id", "t", "m.*")
+    kept = ~F.expr(BASE_FAILED) & cascade(order).isNull()
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), kept.alias("kept"))
 
 
 OP1_SQL = r"""
