@@ -1,43 +1,31 @@
-"""Maps a sequence and prints its scores per ring (SNK4): python -m terrafold ROOT SEQ [--frames N] [--start N] [--out DIR]."""
+"""Maps a sequence and prints its scores per ring (SNK4): python -m terrafold ROOT SEQ [--frames N] [--start N]
+[--poses gt|slam] [--out DIR]."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from terrafold.api import MapSession, text_table
-from terrafold.config import CLASS_OF
 from terrafold.operators.evalmap import blocks, compared, reference, scores
 from terrafold.sources import scans
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(description=__doc__)
     a.add_argument("root")
     a.add_argument("seq")
     a.add_argument("--schedule", default="5_10_20_40")
     a.add_argument("--frames", type=int)
     a.add_argument("--start", type=int, default=0)
+    a.add_argument("--poses", choices=["gt", "slam"])
     a.add_argument("--out")
-    args = a.parse_args()
+    args = a.parse_args(argv)
     spark = SparkSession.builder.appName("terrafold").getOrCreate()
-    base = f"{args.root}/sequences/{args.seq}"
-    p = scans.labelled(scans.scans(spark, f"{base}/velodyne", args.start, args.frames), scans.labels(spark, f"{base}/labels", args.start))
-    pose = scans.poses(spark, scans.pose_path(args.root, args.seq))
-    p = p.join(F.broadcast(pose), "frame")
-    m = lambda i: F.get("m", i)
-    world = lambda r: m(4 * r) * F.col("x") + m(4 * r + 1) * F.col("y") + m(4 * r + 2) * F.col("z") + m(4 * r + 3)
-    mm = lambda c: F.rint(c * 1000).cast("bigint")
-    raw = F.col("raw_label").bitwiseAND(65535).cast("int")
-    p = p.select(
-        "frame", F.col("point_id").cast("bigint").alias("point_id"), mm(F.col("x")).alias("xv_mm"), mm(F.col("y")).alias("yv_mm"), mm(world(0)).alias("xw_mm"), mm(world(1)).alias("yw_mm"),
-        F.rint((F.col("z") + 1.73) * 100).cast("bigint").alias("z_cm"), raw.alias("cls"), raw.isin(40, 44, 48, 49, 72, 60).cast("int").alias("g"),
-        F.rint(F.col("intensity") * 255).cast("bigint").alias("refl"), raw.alias("raw_label"),
-    )
-    classes = F.create_map(*(F.lit(v) for k, c in CLASS_OF.items() for v in (k, c if c >= 0 else 31)))
-    p = p.withColumn("cls", F.coalesce(F.try_element_at(classes, F.col("cls")), F.lit(31)))
+    if not scans.sequence_exists(spark, args.root, args.seq):
+        a.error(f"{args.root} has no sequence {args.seq}")
+    p = scans.points(spark, args.root, args.seq, args.start, args.frames, args.poses)
     s = MapSession.build(p, args.schedule)
     if args.out:
         s.save(f"{args.out}/state")

@@ -51,6 +51,12 @@ def d_aniso(x: Column, y: Column, speed: Column, s: Schedule) -> Column:
     return F.greatest(F.greatest(x, F.lit(0.0)) / ahead, F.greatest(-x, F.lit(0.0)) / rear, F.abs(y) / side)
 
 
+def aniso(x: float, y: float, speed: float, s: Schedule) -> float:
+    """d_aniso for single numbers."""
+    ahead, side, rear = stretch(speed, s)
+    return max(max(x, 0.0) / ahead, max(-x, 0.0) / rear, abs(y) / side)
+
+
 def rear_floor_ring(s: Schedule) -> int | None:
     """The coarsest ring whose cells stay within the rear floor; None if that limits nothing (LAT6)."""
     fit = [r.ring for r in s.rings if r.cell_m <= s.rear_floor_cell_m + 1e-12]
@@ -95,6 +101,22 @@ def migrate_ring(x: Column, y: Column, current: Column, s: Schedule, speed: Colu
     return out.when((current > 0) & (d < bound(F.greatest(current - 1, F.lit(0)))), now).otherwise(current).cast("int")
 
 
+def migrated(x: float, y: float, current: int, s: Schedule, speed: float = 0.0) -> int:
+    """migrate_ring for single numbers, for state that is kept outside of Spark's expressions."""
+    half, last = [r.half_width_m for r in s.rings], len(s.rings) - 1
+    below = lambda v: sum(v >= h for h in half)
+    d, by_size, floor = aniso(x, y, speed, s), below(max(abs(x), abs(y))), rear_floor_ring(s)
+    now = max(below(d), by_size)
+    if floor is not None and x < 0 and abs(x) < REAR_FLOOR_M and by_size <= floor:
+        now = min(now, floor)
+    now = -1 if by_size > last else min(now, last)
+    if current == -1:
+        return now
+    if d > half[current] * (1 + s.hysteresis):
+        return -1 if now == -1 else max(now, current + 1)
+    return now if current > 0 and d < half[current - 1] else current
+
+
 def cell_mm(ring: Column, s: Schedule) -> Column:
     return F.get(F.array(*(F.lit(mm(r.cell_m)) for r in s.rings)), ring)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.config import THRESHOLDS as T
@@ -62,5 +62,12 @@ def overlap(state: DataFrame, block: DataFrame) -> DataFrame:
 
 def removal(cells: DataFrame) -> DataFrame:
     """Dynamic cells removed, static ones kept, and their harmonic mean (AGG20); columns dynamic, removed."""
-    g = cells.agg((F.count_if(F.expr("dynamic AND removed")) / F.count_if(F.expr("dynamic"))).alias("dr"), (F.count_if(F.expr("NOT dynamic AND NOT removed")) / F.count_if(F.expr("NOT dynamic"))).alias("sp"))
+    share = lambda part, whole: F.try_divide(F.count_if(F.expr(part)).cast("double"), F.count_if(F.expr(whole)))
+    g = cells.agg(share("dynamic AND removed", "dynamic").alias("dr"), share("NOT dynamic AND NOT removed", "NOT dynamic").alias("sp"))
     return g.withColumn("f", F.when(F.col("dr") + F.col("sp") > 0, 2 * F.col("dr") * F.col("sp") / (F.col("dr") + F.col("sp"))).otherwise(0.0))
+
+
+def monotonicity(rows: DataFrame, size: str, value: str, name: str) -> DataFrame:
+    """rows, a handful of schedules, with ``worse``: a smaller one that has a larger value than the next larger (AGG29)."""
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(size), name)
+    return rows.withColumn("worse", F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False)))

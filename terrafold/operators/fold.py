@@ -52,10 +52,13 @@ def step(s: Column, x: Column) -> Column:
 
 
 def fold(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """State of each cell (ring, ix, iy) after all frames of a scatter result."""
+    """State of each cell (ring, ix, iy) after all frames of a scatter result.
+
+    The state leaves the fold through a generator: no filter on a field of it goes below, where it would fold once more.
+    """
     key = key or ["ring", "ix", "iy"]
     seen = cells.groupBy(*key).agg(F.array_sort(F.collect_list(observation())).alias("obs"), F.max("frame").alias("last_frame"))
-    return seen.select(*key, "last_frame", F.aggregate("obs", F.expr(EMPTY), step).alias("s")).select(*key, "last_frame", "s.*")
+    return seen.select(*key, "last_frame", F.inline(F.array(F.aggregate("obs", F.expr(EMPTY), step))))
 
 
 def occupancy(n: Column, odds: Column, flags: Column | int = 0) -> Column:

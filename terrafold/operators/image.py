@@ -1,13 +1,16 @@
 """Range image and what is computed on it (AGG6, AGG7, STN6, STN7, STN10, STN11, ST7-9, JN5-8).
 
-The image is sparse: a row for each filled pixel, keyed (frame, v, u). Neighbour pixels come by equi-joins on shifted keys.
+The image is sparse: a row for each filled pixel, keyed (frame, v, u). Joins are equi-joins on that key; normals
+come from whole images, which are of bounded size.
 """
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrafold.config import THRESHOLDS as T
 from terrafold.functions.sensor import clear_tolerance_m, pixel
@@ -35,22 +38,35 @@ def projection_stats(points: DataFrame) -> DataFrame:
     )
 
 
-def neighbour(image: DataFrame, dv: int, du: int, name: str, cols: list[str]) -> DataFrame:
-    """The pixels' columns, keyed as the pixel that has them at (v + dv, u + du); azimuth wraps."""
-    return image.select("frame", (F.col("v") - dv).alias("v"), F.pmod(F.col("u") - du, F.lit(T["columns"])).cast("int").alias("u"), F.struct(*cols).alias(name))
+def incidence(image: DataFrame) -> DataFrame:
+    """|cos| between beam and surface normal, from the neighbours left, right, above and below (STN6); azimuth wraps.
 
+    An image is one group of at most rows x columns pixels, laid out densely; its neighbours are shifts of the array.
+    """
+    names, kinds = image.columns, [*image.schema.fields, StructField("cos_inc", DoubleType())]
 
-def incidence(image: DataFrame) -> DataFrame:
-    """|cos| between beam and surface normal, from the neighbours left, right, above and below (STN6)."""
-    k, xyz, out = ["frame", "v", "u"], ["x", "y", "z"], image
-    for dv, du, name in ((0, 1, "e"), (0, -1, "w"), (1, 0, "s"), (-1, 0, "n")):
-        out = out.join(neighbour(image, dv, du, name, xyz), k, "left")
-    a = [F.col(f"e.{c}") - F.col(f"w.{c}") for c in xyz]
-    b = [F.col(f"s.{c}") - F.col(f"n.{c}") for c in xyz]
-    n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    dot = n[0] * F.col("x") + n[1] * F.col("y") + n[2] * F.col("z")
-    return out.withColumn("cos_inc", F.when((size > 1e-6) & (F.col("r") > 1e-6), F.abs(dot / (size * F.col("r"))))).drop("e", "w", "s", "n")
+    def run(t: pa.Table) -> pa.Table:
+        v, u = t["v"].to_numpy(), t["u"].to_numpy()
+        xyz = np.full((3, T["rows"] + 2, T["columns"]), np.nan)
+        for k, c in enumerate("xyz"):
+            xyz[k, v + 1, u] = t[c].to_numpy()
+        p, r = xyz[:, v + 1, u], t["r"].to_numpy()
+        a = xyz[:, v + 1, (u + 1) % T["columns"]] - xyz[:, v + 1, (u - 1) % T["columns"]]
+        b = xyz[:, v + 2, u] - xyz[:, v, u]
+        n = np.stack([a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]])
+        size = np.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cos = np.abs((n[0] * p[0] + n[1] * p[1] + n[2] * p[2]) / (size * r))
+            seen = (size > 1e-6) & (r > 1e-6)
+        return t.append_column("cos_inc", pa.array(cos, mask=~seen))
+
+    return image.groupBy("frame").applyInArrow(run, StructType(kinds)).select(*names, "cos_inc")
+
+
+def to_points(points: DataFrame, pixels: DataFrame, cols: list[str]) -> DataFrame:
+    """points with what their own pixel (frame, v, u) has, null where the pixel is empty (JN7, STN7, STN10)."""
+    own = pixels.select("frame", "v", "u", *cols)
+    return with_pixel(points).join(own, ["frame", "v", "u"], "left").drop("v_raw", "r")
 
 
 def reflectivity(image: DataFrame, intensity: Column, range_compensated: bool = True, incidence_compensated: bool = True, full_scale: float | None = None) -> DataFrame:
@@ -97,5 +113,3 @@ def fill_gaps(image: DataFrame) -> DataFrame:
 
 def azimuth_degrees(u: Column) -> Column:
     return (u + F.lit(0.5)) * (360.0 / T["columns"]) - 180.0
-
-

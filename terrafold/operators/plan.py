@@ -6,7 +6,6 @@ lattice is a fixed window of some thousand cells whatever the size of the map.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -18,7 +17,7 @@ from terrafold.config import THRESHOLDS as T
 
 DIAGONAL = math.sqrt(2.0)
 STEPS = [(dx, dy, DIAGONAL if dx and dy else 1.0) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-PATHS = "tile int, found boolean, cost double, steps int, expanded int, path array<struct<ix:int,iy:int>>"
+PATHS = "tile int, found boolean, cost double, steps int, path array<struct<ix:int,iy:int>>"
 
 
 def cost(trav: Column, unknown: Column) -> Column:
@@ -46,40 +45,40 @@ def grid(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def distances(c: np.ndarray, source: tuple[int, int], cell_m: float, into: bool = False, goal: tuple[int, int] | None = None) -> tuple[np.ndarray, dict, int]:
+def _moved(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """a shifted by a step; infinite where nothing comes from inside."""
+    out = np.full_like(a, np.inf)
+    into, of = (tuple(slice(max(0, s * d), a.shape[k] + min(0, s * d)) for k, d in enumerate((dx, dy))) for s in (1, -1))
+    out[into] = a[of]
+    return out
+
+
+def distances(c: np.ndarray, source: tuple[int, int], cell_m: float, into: bool = False) -> np.ndarray:
     """Least cost from a source to all cells (into: from all cells to it); a step costs the weight of the cell it enters.
 
-    With a goal it is a best-first search under an octile bound and ends there; ties go to the smaller cell.
+    All cells are relaxed at once, a step at a time, until nothing changes: one sweep for each step of the longest path.
     """
-    dist, came, closed = np.full(c.shape, np.inf), {}, np.zeros(c.shape, bool)
-    if not np.isfinite(c[source]):
-        return dist, came, 0
-    low = c[np.isfinite(c)].min() * cell_m
-
-    def bound(p: tuple[int, int]) -> float:
-        if goal is None:
-            return 0.0
-        a, b = abs(p[0] - goal[0]), abs(p[1] - goal[1])
-        return low * (max(a, b) + (DIAGONAL - 1) * min(a, b))
-
-    dist[source] = 0.0
-    todo, expanded = [(bound(source), 0.0, source)], 0
-    while todo:
-        _, d, p = heapq.heappop(todo)
-        if closed[p]:
-            continue
-        closed[p] = True
-        expanded += 1
-        if p == goal:
-            break
+    dist = np.full(c.shape, np.inf)
+    if np.isfinite(c[source]):
+        dist[source] = 0.0
+    while True:
+        old = dist
         for dx, dy, size in STEPS:
-            q = (p[0] + dx, p[1] + dy)
-            if 0 <= q[0] < c.shape[0] and 0 <= q[1] < c.shape[1] and np.isfinite(c[q]) and not closed[q]:
-                new = d + (c[p] if into else c[q]) * size * cell_m
-                if new < dist[q] - 1e-12:
-                    dist[q], came[q] = new, p
-                    heapq.heappush(todo, (new + bound(q), new, q))
-    return dist, came, expanded
+            dist = np.minimum(dist, _moved(old + c * size * cell_m, -dx, -dy) if into else _moved(old, dx, dy) + c * size * cell_m)
+        if into:
+            dist = np.where(np.isfinite(c), dist, np.inf)
+        if np.array_equal(dist, old):
+            return dist
+
+
+def walk(dist: np.ndarray, c: np.ndarray, start: tuple[int, int], goal: tuple[int, int], cell_m: float) -> list[tuple[int, int]]:
+    """The cells of a cheapest path, from the distances of its start; of equal ways back to the smaller cell."""
+    path = [goal]
+    while path[-1] != start:
+        x, y = path[-1]
+        inside = [((x - dx, y - dy), size) for dx, dy, size in STEPS if 0 <= x - dx < c.shape[0] and 0 <= y - dy < c.shape[1]]
+        path.append(min(inside, key=lambda q: (dist[q[0]] + c[x, y] * q[1] * cell_m, q[0]))[0])  # noqa: B023
+    return path[::-1]
 
 
 def plan(costs: DataFrame, start: tuple[int, int], goal: tuple[int, int], cell_m: float = T["plan_cell_m"]) -> DataFrame:
@@ -87,15 +86,10 @@ def plan(costs: DataFrame, start: tuple[int, int], goal: tuple[int, int], cell_m
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = grid(pdf)
-        dist, came, expanded = distances(c, start, cell_m, goal=goal) if np.isfinite(c[goal]) else (np.full(c.shape, np.inf), {}, 0)
-        path, p = [], goal
-        if np.isfinite(dist[goal]):
-            path = [p]
-            while p != start:
-                p = came[p]
-                path.append(p)
-        row = (int(pdf["tile"].iloc[0]), bool(path), float(dist[goal]) if path else None, max(0, len(path) - 1), expanded, [{"ix": a, "iy": b} for a, b in reversed(path)])
-        return pd.DataFrame([row], columns=["tile", "found", "cost", "steps", "expanded", "path"])
+        dist = distances(c, start, cell_m)
+        path = walk(dist, c, start, goal, cell_m) if np.isfinite(dist[goal]) else []
+        row = (int(pdf["tile"].iloc[0]), bool(path), float(dist[goal]) if path else None, max(0, len(path) - 1), [{"ix": a, "iy": b} for a, b in path])
+        return pd.DataFrame([row], columns=["tile", "found", "cost", "steps", "path"])
 
     return costs.select("tile", "ix", "iy", "cost").groupBy("tile").applyInPandas(run, PATHS)
 
@@ -105,8 +99,7 @@ def corridor(costs: DataFrame, start: tuple[int, int], goal: tuple[int, int], ta
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = grid(pdf)
-        there, _, _ = distances(c, start, cell_m)
-        back, _, _ = distances(c, goal, cell_m, into=True)
+        there, back = distances(c, start, cell_m), distances(c, goal, cell_m, into=True)
         through = there + back
         ix, iy = np.nonzero(through - there[goal] < tau) if np.isfinite(there[goal]) else ([], [])
         return pd.DataFrame({"tile": int(pdf["tile"].iloc[0]), "ix": ix, "iy": iy, "slack": through[ix, iy] - there[goal] if len(ix) else []})

@@ -70,7 +70,7 @@ def _by(key: list[str]):
     return Window.partitionBy(*key)
 
 
-def gate(cells: DataFrame, dynamic: Column) -> Column:
+def gate(dynamic: Column) -> Column:
     """Whether a cell asks for refinement: its class, something moving in it, or an uncertain edge (FLT8)."""
     edge = F.col("trav").bitwiseAND(6) != 0
     return F.col("cand").isin(T["refine"]) | dynamic | (edge & (variance_cm2(F.col("code").cast("int")) * 1e-4 > T["sigma2_max_m2"]))

@@ -59,7 +59,7 @@ def transient(binned: DataFrame) -> DataFrame:
     return m.select(*KEY, F.greatest(F.col("top"), F.lit(0).cast("bigint")).alias("top_cm"))
 
 
-def cluster(points: DataFrame, cell_mm: int = 1000) -> DataFrame:
-    """Moving points gathered in square metres: centre, top and first class of each (AGG5)."""
+def cluster(points: DataFrame, cell_mm: int = 1000, key: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Moving points of a frame (the key) gathered in square metres: centre, top and first class of each (AGG5)."""
     c = points.withColumn("i", F.floor(F.col("xw_mm") / cell_mm)).withColumn("j", F.floor(F.col("yw_mm") / cell_mm))
-    return c.groupBy("frame", "i", "j").agg(F.sum("xw_mm").alias("sx"), F.sum("yw_mm").alias("sy"), F.count("*").alias("n"), F.max("z_cm").alias("top_cm"), F.min_by("cls", "point_id").alias("cls"))
+    return c.groupBy(*key, "i", "j").agg(F.sum("xw_mm").alias("sx"), F.sum("yw_mm").alias("sy"), F.count("*").alias("n"), F.max("z_cm").alias("top_cm"), F.min_by("cls", "point_id").alias("cls"))

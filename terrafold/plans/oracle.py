@@ -84,7 +84,7 @@ PROBES = """, probes AS (
   SELECT c_custkey AS query_id, ((c_custkey * 7919) % 200000) - 100000 + 2400 AS x_mm, ((c_custkey * 104729) % 200000) - 100000 AS y_mm,
          CAST(2400 AS BIGINT) AS ego_x_mm, CAST(0 AS BIGINT) AS ego_y_mm FROM customer
   UNION ALL
-  SELECT 1000000000 + point_id AS query_id, xw_mm AS x_mm, yw_mm AS y_mm, CAST(2400 AS BIGINT), CAST(0 AS BIGINT) FROM pts WHERE point_id % 7 = 0 AND frame = 6)"""
+  SELECT 1000000000 + point_id AS query_id, xw_mm AS x_mm, yw_mm AS y_mm, CAST(2400 AS BIGINT), CAST(0 AS BIGINT) FROM pts WHERE frame = 6)"""
 
 FIELD = f"field AS ({DUCK_FIELD})"
 

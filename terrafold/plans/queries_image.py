@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrafold.functions import sensor
-from terrafold.operators import fold, image, tracks
+from terrafold import config as C
+from terrafold.functions import frames
+from terrafold.operators import evalmap, fold, image, tracks
 from terrafold.operators.scatter import moving
 from terrafold.plans import oracle as O
 from terrafold.plans.queries_lattice import metres
-from terrafold.plans.registry import binned, points, register, state
+from terrafold.plans.registry import S, binned, points, register, state
 
 PHI = "radians(2e0)"
 DPHI = "((radians(2e0) - radians(CAST('-24.8' AS DOUBLE))) / 64)"
@@ -73,6 +74,14 @@ def stn07_reflectivity(spark, sf_dir):
     return image.reflectivity(i, F.col("refl") / 256.0).select("frame", "v", "u", "rho8", "rho_flags")
 
 
+@register(f"""WITH {INCIDENCE}, px AS (SELECT frame, v, u, CAST(greatest(0e0, least(255e0, round_even(refl / 256e0 * 255e0, 0))) AS INT) AS rho8, CASE WHEN cos_inc IS NULL THEN 2 WHEN cos_inc < 0.1 THEN 1 ELSE 0 END AS rho_flags FROM co)
+SELECT p.frame AS frame, p.point_id AS point_id, px.rho8 AS rho8, px.rho_flags AS rho_flags FROM pv p LEFT JOIN px ON px.frame = p.frame AND px.v = p.v AND px.u = p.u""")
+def jn07_pixel_to_points(spark, sf_dir):
+    """Every point with the reflectivity of the pixel that it falls in (JN7, STN7)."""
+    i = image.reflectivity(image.incidence(projected(spark, sf_dir)), F.col("refl") / 256.0)
+    return image.to_points(sensed(spark, sf_dir), i, ["rho8", "rho_flags"]).select("frame", "point_id", "rho8", "rho_flags")
+
+
 @register(f"""WITH {SENSED}, w AS (SELECT frame, point_id, x - CAST('0.4' AS DOUBLE) AS x, y, z FROM sp), wp AS (SELECT *, {pix('x', 'y', 'z')} FROM w),
 pr AS (SELECT frame + 1 AS frame, greatest(0, least(63, v_raw)) AS v, u, min(r) AS pred FROM wp WHERE r > 1e-6 GROUP BY ALL)
 SELECT c.frame AS frame, c.v AS v, c.u AS u, round(abs(c.r - pred), 6) AS residual, abs(c.r - pred) > 0.75 AS moving FROM img c JOIN pr ON pr.frame = c.frame AND pr.v = c.v AND pr.u = c.u WHERE c.r >= 2""")
@@ -122,6 +131,18 @@ def st09_cleanup_counts(spark, sf_dir):
     return c.agg(F.count("*").alias("tested"), F.count_if(~F.col("in_view")).alias("out_of_view"), F.count_if(F.col("protected")).alias("protected"), F.count_if(F.col("through")).alias("cleared"))
 
 
+@register(f"""WITH {VIS}, mv AS (SELECT DISTINCT ring, ix, iy FROM binned WHERE (raw_label & 65535) BETWEEN 250 AND 259),
+c AS (SELECT mv.ring IS NOT NULL AS dynamic, far AND NOT touched AS removed FROM th LEFT JOIN mv ON mv.ring = th.ring AND mv.ix = th.ix AND mv.iy = th.iy),
+g AS (SELECT count(*) FILTER (dynamic AND removed) AS a, nullif(count(*) FILTER (dynamic), 0) AS b, count(*) FILTER (NOT dynamic AND NOT removed) AS c, nullif(count(*) FILTER (NOT dynamic), 0) AS d FROM c)
+SELECT round(dr, 6) AS dr, round(sp, 6) AS sp, round(CASE WHEN dr + sp > 0 THEN 2 * dr * sp / (dr + sp) ELSE 0e0 END, 6) AS f FROM (SELECT CAST(a AS DOUBLE) / b AS dr, CAST(c AS DOUBLE) / d AS sp FROM g)""")
+def agg20_removal(spark, sf_dir):
+    """How well the clean-up of the last frame told cells in which something ever moved from the others (AGG20)."""
+    key = ["ring", "ix", "iy"]
+    moved = binned(spark, sf_dir).filter(moving(F.col("raw_label"))).select(*key).distinct().withColumn("dynamic", F.lit(True))
+    c = seen(spark, sf_dir).join(moved, key, "left").select(F.coalesce("dynamic", F.lit(False)).alias("dynamic"), F.col("through").alias("removed"))
+    return evalmap.removal(c).select(F.round("dr", 6).alias("dr"), F.round("sp", 6).alias("sp"), F.round("f", 6).alias("f"))
+
+
 POSES = "po AS (SELECT CAST(f AS INT) AS frame, cos(f / 20e0) AS c, sin(f / 20e0) AS s, f * 4e-1 AS tx, f * 1e-1 AS ty FROM (SELECT unnest(range(0, 7)) AS f))"
 
 
@@ -152,24 +173,99 @@ def wf03_relative_pose(spark, sf_dir):
 @register()
 def agg13_instances(spark, sf_dir):
     """Connected moving pixels of each frame (AGG13, SRT3); sequential inside an image."""
-    return tracks.instances(projected(spark, sf_dir).filter(moving(F.col("raw_label"))).select("frame", "v", "u", "r", "x", "y", "z"), tolerance_m=5.0, least=2)
+    return tracks.instances(projected(spark, sf_dir).filter(moving(F.col("raw_label"))).select("frame", "v", "u", "r", "x", "y", "z"))
+
+
+#: Points are dealt to so many sequences by their reflectivity.
+SEQUENCES = 16
+
+
+def sequenced(df):
+    return df.withColumn("seq", F.pmod(F.col("refl"), F.lit(SEQUENCES)).cast("int"))
 
 
 @register()
 def st12_tracks(spark, sf_dir):
-    """Tracks of moving clusters over the frames (ST12, ST13); sequential inside a sequence."""
+    """Tracks of moving clusters over the frames of each sequence (ST12, ST13, JN15)."""
     from terrafold.operators.scatter import cluster
 
-    c = cluster(points(spark, sf_dir).filter(moving(F.col("raw_label")) & (F.abs("xv_mm") < 20000) & (F.abs("yv_mm") < 20000)))
-    d = c.select(F.lit(0).alias("seq"), "frame", (F.col("sx") / F.col("n") / 1000).alias("x_m"), (F.col("sy") / F.col("n") / 1000).alias("y_m"), F.col("cls").cast("int").alias("cls"))
-    return tracks.track(d)
+    c = cluster(sequenced(points(spark, sf_dir).filter(moving(F.col("raw_label")))), key=("seq", "frame"))
+    return tracks.track(c.select("seq", "frame", (F.col("sx") / F.col("n") / 1000).alias("x_m"), (F.col("sy") / F.col("n") / 1000).alias("y_m"), F.col("cls").cast("int").alias("cls")))
+
+
+def fired(spark, sf_dir):
+    """Cells of each sequence and frame with a class that asks for refinement, and whether something moves in them."""
+    b = sequenced(binned(spark, sf_dir)).filter("ring >= 0").groupBy("seq", "frame", "ring", "ix", "iy").agg(F.bool_or(F.col("cls").isin(C.THRESHOLDS["refine"])).alias("fires"), F.bool_or(moving(F.col("raw_label"))).alias("dynamic"))
+    return b.filter("fires OR dynamic").select("seq", "frame", "ring", "ix", "iy", "dynamic")
+
+
+def rides(spark):
+    """The vehicle of every sequence in each of the seven frames: 4 m/s ahead from the origin, as in the points' view."""
+    f = spark.range(7 * SEQUENCES)
+    frame = (F.col("id") % 7).cast("int")
+    return f.select(F.expr("CAST(id DIV 7 AS INT)").alias("seq"), frame.alias("frame"), (frame * 400).cast("bigint").alias("ego_x_mm"), F.lit(0).cast("bigint").alias("ego_y_mm"), F.lit(4.0).alias("speed_ms"))
 
 
 @register()
 def st14_pool(spark, sf_dir):
-    """Refinement blocks held at the end (ST14, ST15): requests scored per frame, the pool bounded."""
-    b = binned(spark, sf_dir).filter("ring >= 1 AND cls IN (1, 2, 5, 6, 7, 17, 18)").select("frame", "ring", "ix", "iy").distinct()
-    size = F.lit(0.05) * F.expr("shiftleft(1, ring)")
-    x, y = (F.col("ix") + 0.5) * size, (F.col("iy") + 0.5) * size
-    score = sensor.priority(F.sqrt(x * x + y * y), F.lit(False), sensor.time_to_collision(x, F.lit(4.0)))
-    return tracks.pool(b.select(F.lit(0).alias("seq"), "frame", "ring", "ix", "iy", score.alias("score")))
+    """Blocks of the refinement pool held at the end of each sequence (ST14, TOPK1)."""
+    r = tracks.refine(fired(spark, sf_dir), rides(spark), S).filter("block IS NOT NULL")
+    return r.select("seq", "block", "ring", "ix", "iy", "levels", "score")
+
+
+@register()
+def st15_gate(spark, sf_dir):
+    """What the gate did in each frame: blocks released, cells fired, acquired, refused, not fitting (ST15, JN19)."""
+    r = tracks.refine(fired(spark, sf_dir), rides(spark), S).filter("block IS NULL")
+    return r.select("seq", "frame", "released", "fired", "acquired", "refused", "unfit")
+
+
+@register()
+def st15_fill(spark, sf_dir):
+    """Children of the cells that hold a block, split from the map (ST15, ST16)."""
+    held = tracks.refine(fired(spark, sf_dir), rides(spark), S)
+    return tracks.filled(held, state(spark, sf_dir), S).withColumns({"mu_m": F.round("mu_m", 6), "sigma2_m2": F.round("sigma2_m2", 9)})
+
+
+#: A sensor-to-camera calibration that isn't the identity, and poses of a camera that turns and climbs.
+TR = [0.0, -1.0, 0.0, 0.1, 0.0, 0.0, -1.0, -0.2, 1.0, 0.0, 0.0, -0.3]
+CAMERA = "SELECT CAST(f AS INT) AS frame, [cos(f / 20e0), 0e0, sin(f / 20e0), f * 4e-1, 0e0, 1e0, 0e0, f * -5e-2, -sin(f / 20e0), 0e0, cos(f / 20e0), f * 9e-1] AS m FROM (SELECT unnest(range(0, 7)) AS f)"
+
+
+def camera(spark):
+    f = F.col("id").cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = F.array(F.cos(f / 20), zero, F.sin(f / 20), f * 0.4, zero, one, zero, f * -0.05, -F.sin(f / 20), zero, F.cos(f / 20), f * 0.9)
+    return spark.range(7).select(F.col("id").cast("int").alias("frame"), m.alias("m"))
+
+
+def _times(a: str, b: str) -> str:
+    """SQL of the product of two transforms, lists of twelve."""
+    cell = lambda i, j: " + ".join(f"{a}[{4 * i + k + 1}] * {b}[{4 * k + j + 1}]" for k in range(3)) + (f" + {a}[{4 * i + 4}]" if j == 3 else "")
+    return "[" + ", ".join(cell(i, j) for i in range(3) for j in range(4)) + "]"
+
+
+_list = lambda m: "[" + ", ".join(f"CAST('{v}' AS DOUBLE)" for v in m) + "]"
+TO_WORLD = f"""cam AS ({CAMERA}), k AS (SELECT {_list(frames.FLIP)} AS flip, {_list(TR)} AS tr, {_list(frames.shifted(-1.73))} AS down),
+s1 AS (SELECT frame, m, flip, {_times('tr', 'down')} AS a FROM cam, k), s2 AS (SELECT frame, flip, {_times('m', 'a')} AS b FROM s1), tw AS (SELECT frame, {_times('flip', 'b')} AS t FROM s2)"""
+
+
+@register(f"""WITH {O.PTS}, {TO_WORLD}, v AS (SELECT frame, point_id, xv_mm / 1000e0 AS x, yv_mm / 1000e0 AS y, z_cm / 100e0 AS z FROM pts)
+SELECT frame, point_id, {', '.join(f"round(t[{4 * i + 1}] * x + t[{4 * i + 2}] * y + t[{4 * i + 3}] * z + t[{4 * i + 4}], 6) + 0e0 AS {n}" for i, n in enumerate(("xw", "yw", "zw")))} FROM v JOIN tw USING (frame)""")
+def tx03_world(spark, sf_dir):
+    """Vehicle points in the world through pose, calibration and axes (TX1-3, JN1); composed once a frame."""
+    t = camera(spark).select("frame", frames.vehicle_to_world(F.col("m"), TR).alias("t"))
+    p = metres(spark, sf_dir).join(F.broadcast(t), "frame")
+    return p.select("frame", "point_id", *((F.round(c, 6) + 0.0).alias(n) for c, n in zip(frames.apply(F.col("t"), F.col("x"), F.col("y"), F.col("z")), ("xw", "yw", "zw"), strict=True)))
+
+
+_inv = "[t[1], t[5], t[9], -(t[1] * t[4] + t[5] * t[8] + t[9] * t[12]), t[2], t[6], t[10], -(t[2] * t[4] + t[6] * t[8] + t[10] * t[12]), t[3], t[7], t[11], -(t[3] * t[4] + t[7] * t[8] + t[11] * t[12])]"
+
+
+@register(f"""WITH {TO_WORLD}, l AS (SELECT frame, t, lag(t) OVER (ORDER BY frame) AS p FROM tw), i AS (SELECT frame, p, {_inv} AS q FROM l WHERE p IS NOT NULL), r AS (SELECT frame, {_times('q', 'p')} AS m FROM i)
+SELECT frame, i.i - 1 AS place, round(m[i.i], 6) + 0e0 AS value FROM r, (SELECT unnest(range(1, 13)) AS i) i""")
+def tx04_relative(spark, sf_dir):
+    """The transform from each frame's vehicle to the next one's (TX4); twelve rows a frame, per sequence."""
+    t = camera(spark).select(F.lit(0).alias("seq"), "frame", frames.vehicle_to_world(F.col("m"), TR).alias("t"))
+    t = t.withColumn("p", F.lag("t").over(Window.partitionBy("seq").orderBy("frame"))).filter("p IS NOT NULL")
+    return t.select("frame", F.posexplode(frames.relative(F.col("p"), F.col("t"))).alias("place", "v")).select("frame", F.col("place").cast("bigint").alias("place"), (F.round("v", 6) + 0.0).alias("value"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold import config as C
-from terrafold.operators import evalmap, pyramid, scatter, stencil
+from terrafold.operators import fold, pyramid, scatter, stencil
 from terrafold.plans import oracle as O
 from terrafold.plans.registry import S, binned, field, points, register, state
 from terrafold.sources.points import SIDE
@@ -143,7 +143,7 @@ def agg11_merge(spark, sf_dir):
 WHERE cand IN (1, 2, 5, 6, 7, 17, 18) OR (ix + iy) % 13 = 0 OR ((trav & 6) <> 0 AND tv[code + 1] * {O.d(1e-4)} > {O.d(0.0025)})""")
 def flt08_gate(spark, sf_dir):
     """Cells that ask for refinement (FLT8)."""
-    return bits(spark, sf_dir).filter(pyramid.gate(bits(spark, sf_dir), (F.col("ix") + F.col("iy")) % 13 == 0)).select("tile", "ix", "iy")
+    return bits(spark, sf_dir).filter(pyramid.gate((F.col("ix") + F.col("iy")) % 13 == 0)).select("tile", "ix", "iy")
 
 
 @register(f"""WITH {O.BINNED} SELECT frame, count(*) AS binned, count(*) FILTER ((raw_label & 65535) BETWEEN 250 AND 259) AS moving, count(DISTINCT (ring, ix, iy)) AS touched FROM binned GROUP BY frame""")
@@ -152,21 +152,15 @@ def agg30_counters(spark, sf_dir):
     return binned(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("binned"), F.count_if(scatter.moving(F.col("raw_label"))).alias("moving"), F.count_distinct("ring", "ix", "iy").alias("touched"))
 
 
-@register(f"""WITH {O.FOLD}, {O.TRANSIENT.lstrip(', ')}, c AS (SELECT s.ring AS ring, t.top_cm IS NOT NULL AS dynamic, t.top_cm IS NOT NULL AND s.n < 3 OR s.n < 2 AND s.odds < 5 AND s.refl % 5 = 0 AS removed FROM state s LEFT JOIN (SELECT * FROM transient WHERE frame = 6) t USING (ring, ix, iy))
-SELECT round(dr, 6) AS dr, round(sp, 6) AS sp, round(CASE WHEN dr + sp > 0 THEN 2 * dr * sp / (dr + sp) ELSE 0 END, 6) AS f FROM (SELECT count(*) FILTER (dynamic AND removed) / CAST(count(*) FILTER (dynamic) AS DOUBLE) AS dr, count(*) FILTER (NOT dynamic AND NOT removed) / CAST(count(*) FILTER (NOT dynamic) AS DOUBLE) AS sp FROM c)""")
-def agg20_removal(spark, sf_dir):
-    t = scatter.transient(binned(spark, sf_dir)).filter("frame = 6").select("ring", "ix", "iy", "top_cm")
-    c = state(spark, sf_dir).join(t, ["ring", "ix", "iy"], "left")
-    dyn = F.col("top_cm").isNotNull()
-    c = c.select(dyn.alias("dynamic"), ((dyn & (F.col("n") < 3)) | ((F.col("n") < 2) & (F.col("odds") < 5) & (F.col("refl") % 5 == 0))).alias("removed"))
-    return evalmap.removal(c).select(F.round("dr", 6).alias("dr"), F.round("sp", 6).alias("sp"), F.round("f", 6).alias("f"))
+_WORD = "CAST('0x' || substr(md5(concat_ws(',', ring, ix, iy, last_frame, mu, code, ceil, odds, cand, cnt, refl, n)), 1, 15) AS BIGINT)"
 
 
-@register(f"""WITH {O.FOLD} SELECT ring, count(*) AS cells, CAST(sum(mu) AS BIGINT) AS heights, CAST(sum(code) AS BIGINT) AS codes, CAST(sum(n) AS BIGINT) AS returns, bit_xor(CAST(ix * 73856093 + iy * 19349663 + CAST(mu AS BIGINT) * 83492791 + cand * 8 + cnt AS BIGINT)) AS digest FROM state GROUP BY ring""")
+@register(f"WITH {O.FOLD} SELECT ring, count(*) AS cells, CAST(sum(mu) AS BIGINT) AS heights, CAST(sum(n) AS BIGINT) AS returns, bit_xor({_WORD}) AS digest FROM state GROUP BY ring")
 def agg22_map_hash(spark, sf_dir):
-    """An order-free digest of the map per ring (AGG22): equal for equal maps, however rows are dealt."""
-    word = F.col("ix") * 73856093 + F.col("iy") * 19349663 + F.col("mu").cast("bigint") * 83492791 + F.col("cand") * 8 + F.col("cnt")
-    return state(spark, sf_dir).groupBy("ring").agg(F.count("*").alias("cells"), F.sum("mu").alias("heights"), F.sum("code").alias("codes"), F.sum("n").alias("returns"), F.bit_xor(word).alias("digest"))
+    """An order-free digest of the map per ring (AGG22): that of all fields of all cells, however rows are dealt."""
+    fields = [F.col(c).cast("string") for c in ("ring", "ix", "iy", "last_frame", *fold.FIELDS)]
+    word = F.conv(F.substring(F.md5(F.concat_ws(",", *fields).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return state(spark, sf_dir).groupBy("ring").agg(F.count("*").alias("cells"), F.sum("mu").alias("heights"), F.sum("n").alias("returns"), F.bit_xor(word).alias("digest"))
 
 
 @register(f"""WITH {O.PTS} SELECT CAST(floor(xw_mm / 2e3) AS BIGINT) AS i, CAST(floor(yw_mm / 2e3) AS BIGINT) AS j, arg_max(z_cm, frame * 1000000000000000 + point_id) AS z_cm, least(count(*), 255) AS n, count(DISTINCT z_cm // 16) AS voxels

@@ -41,12 +41,12 @@ def tx23_frustum(spark, sf_dir):
     return p.select("frame", "point_id", clip(col, 512).alias("col"), clip(row, 64).alias("row"))
 
 
-@register(f"""WITH {O.BINNED}, p AS (SELECT cls AS gt, CASE WHEN refl % 5 = 0 THEN (cls + 1) % 19 ELSE cls END AS pred FROM binned WHERE cls > 0),
+@register(f"""WITH {O.BINNED}, p AS (SELECT cls AS gt, CASE WHEN refl % 5 = 0 THEN (cls + 1) % 19 ELSE cls END AS pred FROM binned),
 c AS (SELECT unnest(range(0, 19)) AS cls), s AS (SELECT cls, count(*) FILTER (gt = cls AND pred = cls) AS inter, count(*) FILTER (gt = cls OR pred = cls) AS either, count(*) FILTER (gt = cls) AS support FROM c, p GROUP BY cls)
 SELECT cls, inter, either, support, round(inter / CAST(either AS DOUBLE), 6) AS iou FROM s WHERE either > 0""")
 def agg23_iou(spark, sf_dir):
     """Overlap of predicted and true classes (AGG23): each point counts for one or two classes, in one pass."""
-    p = binned(spark, sf_dir).filter("cls > 0").select(F.col("cls").alias("gt"), F.when(F.col("refl") % 5 == 0, (F.col("cls") + 1) % 19).otherwise(F.col("cls")).alias("pred"))
+    p = binned(spark, sf_dir).filter("cls >= 0").select(F.col("cls").alias("gt"), F.when(F.col("refl") % 5 == 0, (F.col("cls") + 1) % 19).otherwise(F.col("cls")).alias("pred"))
     e = p.select("gt", "pred", F.explode(F.array_distinct(F.array("gt", "pred"))).alias("cls"))
     g = e.groupBy(F.col("cls").cast("bigint").alias("cls")).agg(F.count_if(F.col("gt") == F.col("pred")).alias("inter"), F.count("*").alias("either"), F.count_if(F.col("gt") == F.col("cls")).alias("support"))
     return g.withColumn("iou", F.round(F.col("inter") / F.col("either"), 6))
@@ -78,13 +78,17 @@ def flt13_upright(spark, sf_dir):
     return points(spark, sf_dir).groupBy("frame").agg(z.alias("ground_cm"), (F.abs(z) <= 200).alias("upright"), F.count_if(F.col("g") == 1).alias("returns"))
 
 
+#: The cap on point ids of LIM2; below it lie the first 5,000 orders or so.
+MAX_POINT = 5_000_000_000
+
+
 @register(f"""WITH {O.BINNED} SELECT frame, count(*) FILTER (abs(yv_mm) < 1500 AND xv_mm BETWEEN 5000 AND 40000) AS in_lane, count(*) FILTER ((raw_label & 65535) NOT BETWEEN 250 AND 259) AS shown,
- count(*) FILTER (point_id % 1000 < 500) AS within_cap FROM binned GROUP BY frame""")
+ count(*) FILTER (point_id < {MAX_POINT}) AS within_cap FROM binned GROUP BY frame""")
 def flt14_strips(spark, sf_dir):
     """Points in a lane strip, points shown without moving ones, points under a cap (FLT14, FLT15, LIM2)."""
     b = binned(spark, sf_dir)
     lane = (F.abs("yv_mm") < 1500) & F.col("xv_mm").between(5000, 40000)
-    return b.groupBy("frame").agg(F.count_if(lane).alias("in_lane"), F.count_if(~moving(F.col("raw_label"))).alias("shown"), F.count_if(F.col("point_id") % 1000 < 500).alias("within_cap"))
+    return b.groupBy("frame").agg(F.count_if(lane).alias("in_lane"), F.count_if(~moving(F.col("raw_label"))).alias("shown"), F.count_if(F.col("point_id") < MAX_POINT).alias("within_cap"))
 
 
 @register(f"WITH {O.FOLD} SELECT ring, ix, iy FROM state WHERE {O.OCC} = 2 ORDER BY ring, iy, ix LIMIT 1000")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrafold import config as C
-from terrafold.operators import plan
+from terrafold.operators import evalmap, plan
 from terrafold.plans import oracle as O
 from terrafold.plans.queries_map import _bits, bits
-from terrafold.plans.registry import points, register
+from terrafold.plans.registry import SQL, points, register
 from terrafold.sources.points import SIDE
 
 START, GOAL = (2, 2), (SIDE // 2 - 3, SIDE // 2 - 3)
@@ -47,8 +46,8 @@ def costs(spark, sf_dir, step_blocks=True):
 
 @register()
 def qry10_plan(spark, sf_dir):
-    """Cheapest paths on each tile (QRY10); a best-first search, tested against plain relaxation."""
-    return plan.plan(costs(spark, sf_dir), START, GOAL).withColumn("cost", F.round("cost", 6)).drop("path", "expanded")
+    """Cheapest paths on each tile (QRY10)."""
+    return plan.plan(costs(spark, sf_dir), START, GOAL).withColumn("cost", F.round("cost", 6)).drop("path")
 
 
 @register()
@@ -80,16 +79,6 @@ def qry14_common_support(spark, sf_dir):
     return plan.common_support([one, two])
 
 
-@register("""WITH r(schedule, mb, regret) AS (VALUES ('5_10_20_40', 29.06e0, 0.488e0), ('u10', 78.5e0, 0.231e0), ('u20', 19.6e0, 0.251e0), ('u40', 4.9e0, 0.402e0), ('u80', 1.2e0, 0.798e0))
-SELECT schedule, mb, regret, coalesce(regret > lag(regret) OVER (ORDER BY mb DESC, schedule), false) AS worse FROM r""")
-def agg29_monotonicity(spark, sf_dir):
-    """Rows by memory with those that do worse than the next larger one (AGG29); a handful of schedules."""
-    rows = [("5_10_20_40", 29.06, 0.488), ("u10", 78.5, 0.231), ("u20", 19.6, 0.251), ("u40", 4.9, 0.402), ("u80", 1.2, 0.798)]
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("mb"), "schedule")
-    r = spark.createDataFrame(rows, "schedule string, mb double, regret double")
-    return r.withColumn("worse", F.coalesce(F.col("regret") > F.lag("regret").over(w), F.lit(False)))
-
-
 SCHEDULES = [("5_10_20_40", 0, 10000, 50), ("5_10_20_40", 1, 25000, 100), ("5_10_20_40", 2, 50000, 200), ("5_10_20_40", 3, 100000, 400), ("5_10_50", 0, 10000, 50), ("5_10_50", 1, 25000, 100), ("5_10_50", 2, 100000, 500), ("u20", 0, 100000, 200), ("u80", 0, 100000, 800)]
 
 
@@ -108,6 +97,14 @@ def qry17_ablation(spark, sf_dir):
     return g.groupBy("schedule").agg(F.count("*").alias("cells"), F.sum("n").alias("returns"), F.round(within, 4).alias("within_cm"), F.max("n").alias("fullest"))
 
 
+@register(f"""WITH q AS ({SQL['qry17_ablation']}), r AS (SELECT schedule, round(cells * 12 / 1e6, 6) AS mb, within_cm FROM q)
+SELECT *, coalesce(within_cm > lag(within_cm) OVER (ORDER BY mb DESC, schedule), false) AS worse FROM r""")
+def agg29_monotonicity(spark, sf_dir):
+    """Schedules by the memory of their cells, with those that do worse than the next larger one (AGG29)."""
+    r = qry17_ablation(spark, sf_dir).select("schedule", F.round(F.col("cells") * 12 / 1e6, 6).alias("mb"), "within_cm")
+    return evalmap.monotonicity(r, "mb", "within_cm", "schedule")
+
+
 def thresholds_digest() -> str:
     return C.digest()
 

@@ -14,7 +14,8 @@ def test_query(spark, name):
     if name in SQL:
         same(spark, QUERIES[name], SQL[name], SF)
     else:
-        assert QUERIES[name](spark, SF).count() > (-1 if name == "agg13_instances" else 0)  # no neighbouring moving pixels here
+        df = QUERIES[name](spark, SF)  # its rows are compared with a plain version's in test_sequences
+        assert df.columns and (df.count() > 0 or name == "agg13_instances")
 
 
 def test_entry(spark):

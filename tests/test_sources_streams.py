@@ -26,7 +26,7 @@ def test_sequence_round_trip(spark, tmp_path):
     assert lab[lab.frame == 0].raw_label.eq(0).all() and lab[lab.frame == 2].raw_label.tolist() == frames[2][1].tolist()
     assert scans.scans(spark, f"{base}/velodyne", start=1, most=1).count() == 1 and scans.scans(spark, f"{base}/velodyne", most=1).count() == 5
     got = scans.poses(spark, scans.pose_path(str(tmp_path), "04")).orderBy("frame").collect()
-    assert [x.m[3] for x in got] == [0, 1.5, 3] and scans.pose_path("r", "08").endswith("sequences/08/poses.txt")
+    assert [(x.frame, x.m[3]) for x in got] == [(0, 0), (1, 1.5), (2, 3)] and scans.pose_path("r", "08").endswith("sequences/08/poses.txt")
     assert scans.calibration(spark, f"{base}/calib.txt") == [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]
 
 
