@@ -78,15 +78,17 @@ def semi(df: DataFrame, ids: DataFrame, key: str, n: int, how: str = "left_semi"
     return df.join(F.broadcast(ids) if n <= MOST_IDS else ids.hint("shuffle_hash"), key, how)
 
 
-def spread_min(rows: DataFrame, key: str, value: str, out: str, salted_by: str) -> DataFrame:
-    """rows with the least value of their key as a column, whatever the share of one key: a key's rows are dealt over SALTS tasks.
+def spread(rows: DataFrame, key: str, value: str, out: str, salted_by: str, agg: Callable = F.min) -> DataFrame:
+    """rows with the least (or largest) value of their key as a column, whatever the share of one key.
 
-    Rows meet their key's minimum by (key, salt), and a key has SALTS rows at most in the step that joins its salts.
+    A key's rows are dealt over SALTS salts; they meet their key's value by (key, salt), and a key has SALTS rows at most in
+    the step that joins its salts. Only a row for each key and salt is held in memory.
     """
-    r = rows.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)))
-    least = r.groupBy(key, "_salt").agg(F.min(value).alias(out))
-    least = least.withColumn(out, F.min(out).over(Window.partitionBy(key)))
-    return r.join(least, [key, "_salt"]).drop("_salt")
+    salt = unused(rows.columns, "salt")
+    r = rows.withColumn(salt, F.pmod(F.xxhash64(salted_by), F.lit(SALTS)))
+    least = r.groupBy(key, salt).agg(agg(value).alias(out))
+    least = least.withColumn(out, agg(out).over(Window.partitionBy(key)))
+    return r.join(least.hint("shuffle_hash"), [key, salt]).drop(salt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +110,22 @@ def near_share(df: DataFrame, id_col: str, share: float) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
 
 
+def unused(names: list[str], like: str) -> str:
+    """A column name that is not among names, whatever their case."""
+    low = {x.lower() for x in names}
+    return next(x for k in range(len(low) + 1) if (x := f"{like}{k}") not in low)
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, salted_by: str) -> DataFrame:
+    """rows left joined with other on one key (at most one row each in other), whatever the share of one key.
+
+    The keys and salts of rows meet other first, SALTS rows a key at most; rows then meet that by (key, salt).
+    """
+    salt = unused([*rows.columns, *other.columns], "salt")
+    r = rows.withColumn(salt, F.pmod(F.xxhash64(salted_by), F.lit(SALTS)))
+    return r.join(r.select(key, salt).distinct().join(other, key), [key, salt], "left").drop(salt)
+
+
 def share_block(spark: SparkSession, value) -> Broadcast:
     """A block of a model or a set, of bounded size, for workers. The driver's Python keeps no copy."""
     return spark.sparkContext.broadcast(value)

@@ -70,10 +70,22 @@ PASSAGES = {
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd_endorse": "neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "unlicense_text": "this is free and unencumbered software released into the public domain",
+    "wtfpl_title": "do what the fuck you want to public license",
+    "mpl2_title": "mozilla public license version 2 0",
+    "epl2_header": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "eupl_title": "european union public licence v 1 2",
+    "ofl_header": "this font software is licensed under the sil open font license version 1 1",
+    "artistic2_title": "the artistic license 2 0",
+    "postgres_grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+    **{f"cc_{'_'.join(k.split())}4_title": f"creative commons {long} 4 0 international" for k, long in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"))},
+    "cc0_title": "cc0 1 0 universal",
 }
 OPENING = (
     r"^(?:spdx license identifier |(?:(?:this|the|our|all) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:dual )?"
-    r"(?:licensed|released|distributed|published|provided|made available|available) under (?:the )?(?:terms of (?:the )?)?)"
+    r"(?:licensed|released|distributed|published|provided|made available|available) under (?:the |a |an )?(?:terms of (?:the |a |an )?)?)"
 )
 #: Names after an opening, normalised, by identifier and licence.
 NAMES = {
@@ -98,6 +110,9 @@ NAMES = {
 MORE_RULES = [
     ("Apache-2.0", ["apache2_header"]), ("Apache-2.0", ["apache2_title"]), ("ISC", ["isc_grant"]), ("MPL-2.0", ["mpl2_header"]),
     *((f"{short}-{v.replace(' ', '.') if ' ' in v else v + '.0'}-or-later", [f"{k}{v.replace(' ', '')}_free"]) for k, short, _, vs in _gnu for v in vs),
+    ("Zlib", ["zlib_grant"]), ("BSL-1.0", ["boost_grant"]), ("Unlicense", ["unlicense_text"]), ("WTFPL", ["wtfpl_title"]), ("MPL-2.0", ["mpl2_title"]), ("EPL-2.0", ["epl2_header"]),
+    ("EUPL-1.2", ["eupl_title"]), ("OFL-1.1", ["ofl_header"]), ("Artistic-2.0", ["artistic2_title"]), ("PostgreSQL", ["postgres_grant"]), ("CC0-1.0", ["cc0_title"]),
+    *((f"CC-{'-'.join(k.upper().split())}-4.0", [f"cc_{'_'.join(k.split())}4_title"]) for k in ("by", "by sa", "by nc", "by nd")),
     ("GPL-2.0", ["gpl2_title"]), ("GPL-3.0", ["gpl3_title"]), ("LGPL-3.0", ["lgpl3_title"]), ("AGPL-3.0", ["agpl3_title"]),
     *((licence, [i]) for i, (licence, _) in NAMES.items()),
 ]
@@ -108,7 +123,7 @@ BSD_RULES = [
     ("BSD-2-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary"]),
 ]
 ALL_RULES = [*RULES[:-2], *BSD_RULES, *RULES[-2:], *MORE_RULES]
-STEMS = "licen[sc]e|copyright|permission|redistribut"
+STEMS = "licen[sc]e|copyright|permission|redistribut|unencumbered|creative commons|cc0"
 CUT = r"[.!?]+(?=\s|$)|\n(?![a-z])"
 #: A text that has none of these is not cut; the advertising clause only counts after bsd_redistribute.
 GATE = rf"(?i){STEMS}|(?:released|distributed|published|provided|available)\s+under"
@@ -162,6 +177,9 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 _known = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
+#: The ordered rules over the identifiers that the SQL knows, a step each: a hit takes its sequence away from later rules.
+_sql_rules = [(name, "".join(f" {i} " for i in seq)) for name, seq in ALL_RULES if set(seq) <= SENTENCES.keys()]
+_steps = ",\n".join(f"r{k + 1} AS (SELECT n, replace(seq, '{seq}', ' * ') AS seq, CASE WHEN contains(seq, '{seq}') AND NOT list_contains(got, '{name}') THEN list_append(got, '{name}') ELSE got END AS got FROM r{k})" for k, (name, seq) in enumerate(_sql_rules))
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 known(id, s) AS (VALUES {_known}),
@@ -169,10 +187,11 @@ known(id, s) AS (VALUES {_known}),
 x AS (SELECT n, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE regexp_matches(t, '(?i){STEMS}')),
 j AS (SELECT n, string_agg(CASE WHEN i = 1 THEN '' WHEN regexp_matches(l, '^[a-z]') THEN chr(10) ELSE chr(1) END || l, '' ORDER BY i) AS t FROM x GROUP BY n),
 c AS (SELECT n, unnest(string_split_regex(t, '[.!?]+[\s\x01]|[.!?]+$|\x01')) AS s, generate_subscripts(string_split_regex(t, '[.!?]+[\s\x01]|[.!?]+$|\x01'), 1) AS i FROM j),
-m AS (SELECT c.n, c.i, known.id FROM c JOIN known ON known.s = trim(regexp_replace(translate(c.s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))),
-r(place, licence, id) AS (VALUES {', '.join(f"({k}, '{n}', '{seq[0]}')" for k, (n, seq) in enumerate(RULES) if len(seq) == 1)}),
-l AS (SELECT n, string_agg(licence, ',' ORDER BY place) AS licences FROM (SELECT n, licence, min(place) AS place FROM m JOIN r USING (id) GROUP BY n, licence) GROUP BY n),
-f AS (SELECT n, count(*) AS n_sentences, string_agg(id, ',' ORDER BY i) AS sentence_ids FROM m GROUP BY n)
-SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(licences, '') AS licences
-FROM d LEFT JOIN f USING (n) LEFT JOIN l USING (n)
+w AS (SELECT n, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM c),
+m AS (SELECT w.n, w.i, known.id FROM w LEFT JOIN known USING (s) WHERE w.s <> ''),
+f AS (SELECT n, count(id) AS n_sentences, string_agg(id, ',' ORDER BY i) AS sentence_ids, ' ' || string_agg(coalesce(id, '-'), '  ' ORDER BY i) || ' ' AS seq FROM m GROUP BY n),
+r0 AS (SELECT n, seq, CAST([] AS VARCHAR[]) AS got FROM f),
+{_steps}
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(got, ','), '') AS licences
+FROM d LEFT JOIN f USING (n) LEFT JOIN r{len(_sql_rules)} USING (n)
 """

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from terrafold.llm.common import SALTS, drop, keep, near_share, semi, small_batches, spread_min
+from terrafold.llm.common import SALTS, drop, keep, near_share, semi, small_batches, spread
 
 #: Words of a shingle; similarity of a link in percent; trees, minima in a label, least shared minima, labels of a region.
 SHINGLE, PERCENT, TREES, DEPTH, LEAST_DEPTH, REGION = 5, 75, 24, 5, 2, 9
@@ -398,7 +398,7 @@ def components(links: DataFrame) -> DataFrame:
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now, state = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", n), None
     while True:
-        told = spread_min(both(now), "a", "b", "m", "b").withColumn("m", F.least("a", "m"))
+        told = spread(both(now), "a", "b", "m", "b").withColumn("m", F.least("a", "m"))
         told = told.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         new = keep(told.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n)
         drop(now)

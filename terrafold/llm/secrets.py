@@ -8,8 +8,14 @@ Text is shuffled once, and only to the row that represents its blob; nothing is
 A rule is a Java regular expression; its matches are leftmost and non-overlapping, and matches that fail its test are
 dropped. Positions come from the lengths of the pieces between matches, in code points.
 
+Findings are joined by (blob, salt), so a blob with a third of all rows is dealt over many tasks.
+
 Edge cases: null counts as the empty text, which has no spans; null or repeated ids are kept and get the findings of their
-text; an empty table gives an empty result; spans with one start are ordered as the rules are listed.
+text; an empty table gives an empty result; spans with one start are ordered as the rules are listed. Texts are scanned
+whole; the list of a text's spans is built one by one, so its cost grows with the square of the matches in one text. A
+private key's header names its kind in 30 characters at most and its body has 1000 lines at most, as the Java matcher spends
+stack on each; other rules have no bound on lengths. Columns other than the id and the text are kept by ``redacted``,
+whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import PLAIN_FILES, shared_dir
+from terrafold.llm.common import PLAIN_FILES, shared_dir, spread_join, unused
 
 
 @dataclass(frozen=True)
@@ -53,7 +59,7 @@ MORE = [
     Rule("repo_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", PRIVATE_KEY, version=2),
-    Rule("url_login", r"""://[^\x00-\x20/:@"'<>]{1,100}:[^\x00-\x20/:@"'<>]{1,100}@"""),
+    Rule("url_login", r"""://[^\x00-\x20/:@"'<>]+:[^\x00-\x20/:@"'<>]+@""", version=2),
 ]
 RULES = BASE + MORE
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("rule", T.StringType())])))])
@@ -109,7 +115,7 @@ def scan(versions: DataFrame, ledger: str, rules: list[Rule] = RULES, id_col: st
     fresh.write.mode("append").options(**PLAIN_FILES).parquet(ledger)
     known = read_ledger(spark, ledger).filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("x"))
     known = known.filter(F.col("x.rule").isin([r.id for r in rules])).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
-    out = v.select("id", "blob").join(known, "blob", "left")
+    out = spread_join(v.select("id", "blob"), known, "blob", "id")
     return out.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.expr(f"CAST(array() AS {SPANS})")).alias("spans"))
 
 
@@ -145,10 +151,11 @@ def redact(text: Column, spans: Column, rules: list[Rule] = RULES) -> Column:
 
 def redacted(docs: DataFrame, ledger: str, rules: list[Rule] = RULES) -> DataFrame:
     """docs, same columns, with the secrets in their text replaced; findings are joined by the text's address."""
-    found = scan(docs, ledger, rules).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).groupBy("_blob").agg(F.first("_spans").alias("_spans"))
-    at = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    out = docs.withColumn("_blob", at).join(found, "_blob", "left")
-    return out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans"), rules))).select(*docs.columns)
+    blob, found = (unused(docs.columns, x) for x in ("blob", "spans"))
+    got = scan(docs, ledger, rules).filter(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(found))
+    salted = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    out = spread_join(salted, got, blob, "doc_id")
+    return out.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(found), rules))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: Rules that the SQL holds in a shorter form: it marks the header of a key, so it agrees on texts without one.

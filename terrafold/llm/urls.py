@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import by_block, share_block, small_batches
+from terrafold.llm.common import by_block, share_block, small_batches, unused
 
 #: Rules in one broadcast block (about 300 bytes each).
 MOST_RULES = 200_000
@@ -123,14 +123,10 @@ def judge(spark: SparkSession, urls: DataFrame, url: str, rules: DataFrame, defa
     out = urls.select(*(F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     schema = T.StructType([*out.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     place = len(out.columns)  # the key goes last, whatever other columns are called
-    out = out.select("*", key(F.col("host")).alias(_unused(out.columns)))
+    out = out.select("*", key(F.col("host")).alias(unused(out.columns, "key")))
     return out.sortWithinPartitions(out.columns[place]).mapInArrow(lambda b: _sweep(b, blocks, default), schema)
 
 
-def _unused(names: list[str]) -> str:
-    return next(x for k in range(len(names) + 1) if (x := f"key{k}") not in names)
-
-
 def _blocks(rules: DataFrame, most: int) -> Iterator[list[tuple]]:
     block: list[tuple] = []
     for r in rules.toLocalIterator():

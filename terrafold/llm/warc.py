@@ -6,12 +6,13 @@ record, its ZIP64 form where present, and the central directory, finds the store
 byte range; nothing is extracted to disk and no archive is read whole.
 
 Archives go to the shared folder under new names; only those that a finished task lists are read, so a lost or repeated
-task leaves no trace in the result. Payloads move once, to their digest, and only the digest table is held in memory of a
-join; a digest with a third of all pages is split by the skew rule of the join.
+task leaves no trace in the result. Payloads move once, to their digest and a salt, so the pages of one digest are dealt over
+many tasks and archives whatever their share; only the digest table is held in memory of the join.
 
 Edge cases: null html is an empty payload; a null url an empty target; repeated rows are records of their own, and rows
 that repeat the row with the largest id are responses like it; a null id can only be a response if all ids of its payload
-are null; an empty table writes no archive and gives an empty result.
+are null; an empty table writes no archive and gives an empty result; a long payload is one record, held in memory whole;
+other columns than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import keep, shared_dir
+from terrafold.llm.common import keep, shared_dir, small_batches, spread
 
 #: Payload bytes of an archive; least size of a payload that revisits can refer to.
 ARCHIVE_BYTES, LEAST_BYTES = 1 << 25, 0
@@ -152,10 +153,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
 
     Of equal payloads of at least ``least_bytes`` bytes that with the largest id is a response, which the others revisit.
     """
+    small_batches(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    last = p.groupBy("sha").agg(F.max("page_id").alias("last")).select(F.col("sha").alias("of"), "last")
-    p = p.join(last.hint("shuffle_hash"), F.col("sha") == F.col("of"))
+    p = spread(p, "sha", "page_id", "last", "page_id", F.max)
     revisit = ~F.col("page_id").eqNullSafe(F.col("last")) & (F.octet_length("html") >= least_bytes)
     rows = p.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
     return keep(rows.mapInArrow(_writer(folder), "path string, records bigint"), "archives")

@@ -158,11 +158,43 @@ def test_op3_longest_rule_wins(spark):
         for r in rows_of(got, "page_id"):
             u = [*url, url[-1]][r["page_id"]]
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(u), u
+    # an aggregate above doesn't take the order from the sweep
+    plan = urls.op3(spark, pages).groupBy("verdict").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort")
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in urls.judge(spark, pages, "url", none).collect()} == {"allow"}
     assert urls.op3(spark, pages.filter("false")).count() == 0
 
 
+def test_op3_sweeps_like_brute_force():
+    r = random.Random(11)
+    labels = ["a", "b", "c", "aa"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randrange(1, 5)))
+    key = lambda h: "".join(x + "." for x in reversed(h.split(".")))
+    for turn in range(40):
+        rules = [(h := host(), r.choice(["", "/", "/x", "/x/y"]), r.choice(["block", "allow"])) for _ in range(r.randrange(30))]
+        prepared = urls.prepared([(key(h), h, p, v) for h, p, v in rules])
+        pages = sorted(((host(), r.choice(["", "/", "/x", "/x/y/z"])) for _ in range(60)), key=lambda x: key(x[0]).encode())
+        sweep = urls.Sweep(prepared)
+        for k, (h, p) in enumerate(pages):
+            fit = [(len(rh + rp), v == "block", rh + rp, v) for rh, rp, v in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+            fresh = urls.Sweep(prepared)  # starts in the middle
+            for s in (sweep, fresh):
+                got = s.fit(key(h), p)
+                assert (got and got[:2]) == (max(fit)[:2] if fit else None), (h, p, rules)
+
+
+def test_blocks_are_held_one_at_a_time(spark):
+    from terrafold.llm import common
+
+    shared = [common.share_block(spark, list(range(k))) for k in range(5)]
+    for k, value in enumerate(common.by_block(shared)):
+        assert value == list(range(k)) and sum("_value" in b.__dict__ for b in shared) == 1
+    assert sum("_value" in b.__dict__ for b in shared) == 0
+    one = shared[2:3]
+    assert [list(common.by_block(one)) for _ in range(2)] == [[[0, 1]]] * 2 and "_value" in one[0].__dict__
+
+
 def test_op4_round_trip(spark, tmp_path):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x" * 300_000, "b", "<p>é</p>", "\r\n\r\n"]
     pages = spark.createDataFrame([(i, f"http://h/{i}\n" if i else None, h) for i, h in enumerate(html)], "page_id bigint, url string, html string").withColumn("record_type", F.lit(1))
@@ -229,6 +261,14 @@ def test_op5_redaction_keeps_the_rest(spark, docs, tmp_path):
     assert "AKIA" not in got[17] and "<access>" in got[17] and " é " in got[17] and secrets.redacted(docs, str(tmp_path / "l2")).columns == docs.columns
 
 
+def test_op5_takes_long_credentials_and_keeps_clashing_columns(spark, tmp_path):
+    long = "p" * 500
+    d = spark.createDataFrame([(i, f"see https://user:{long}@host.example/ now" if i % 2 else "none", i, "x") for i in range(6)], "doc_id bigint, text string, blob0 int, spans0 string")
+    got = {r.doc_id: r for r in secrets.redacted(d, str(tmp_path / "ledger")).collect()}
+    assert secrets.redacted(d, str(tmp_path / "ledger2")).columns == d.columns and len(got) == 6
+    assert all((r.text == "see https<url_login>host.example/ now") == bool(i % 2) and r.blob0 == i and r.spans0 == "x" for i, r in got.items())
+
+
 def test_op6_rules_take_sequences(docs, empty):
     got = by_id(licences.op6(docs))
     assert (got[19]["sentence_ids"], got[19]["licences"]) == ("mit_ref,apache2_ref,apache2_comply", "Apache-2.0,MIT")
@@ -236,6 +276,20 @@ def test_op6_rules_take_sequences(docs, empty):
     assert got[0]["n_sentences"] == 0 and got[1]["licences"] == "" and licences.op6(empty).count() == 0
 
 
+def test_op6_sql_takes_sequences(spark):
+    """The SQL applies the ordered rules too: two sentences that follow each other, apart, and in the wrong order."""
+    import duckdb
+
+    ref, comply = "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."
+    rows = [(1, f"{ref} {comply}"), (2, f"{ref} Other words. {comply}"), (3, f"{comply} {ref}"), (4, f"{ref} {comply} {ref} Licensed under CC BY 4.0!"), (5, None), (6, "")]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, n_sentences, sentence_ids, licences FROM ({licences.OP6_SQL})").fetchall()}
+    got = {i: (r["n_sentences"], r["sentence_ids"], r["licences"]) for i, r in by_id(licences.op6(frame(spark, rows))).items()}
+    assert got == want and got[1][2] == "Apache-2.0" and got[4][2] == "Apache-2.0,CC-BY-4.0"
+
+
 def test_op7_segments_are_the_maximal_ones():
     import numpy as np
 
@@ -583,6 +637,9 @@ def test_op6_knows_canonical_texts(spark):
     want = {"MIT": mit, "Apache-2.0": apache, "GPL-3.0-or-later": gpl, "GPL-2.0-or-later": gpl.replace("version 3", "version 2"), "LGPL-2.1-or-later": gpl.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"), "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3}
     rows = [(f(t), x) for x, t in want.items() for f in (str, lambda t: "/*\n" + "\n".join(" * " + k for k in t.split("\n")) + "\n */", lambda t: "\n".join("# " + k for k in t.split("\n")))]
     rows += [("This project is licensed under the MIT License.", "MIT"), ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", "GPL-3.0-or-later"), ("See below. This work is licensed under a licence of its own.", ""), ("This software is not licensed under the MIT License.", "")]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n"
+    more = {"MPL-2.0": mpl, "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license"}
+    rows += [(f(t), x) for x, t in more.items() for f in (str, lambda t: "\n".join("// " + k for k in t.split("\n")))]
     got = by_id(licences.op6(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])))
     assert [got[i]["licences"] for i in range(len(rows))] == [x for _, x in rows]
 

@@ -47,6 +47,39 @@ def test_stages(spark, monkeypatch):
     assert collections.Counter(out.keys()) == collections.Counter(before.keys()) and bpe.default_path()
 
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, blob0 int, salt0 string, spans string, key0 int"
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+ITEM = "one two three four five six seven eight nine ten eleven"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty, wordless and long texts, copies, ties and columns whose names the stages use themselves."""
+    near = LONG.replace("w5x", "changed", 40)
+    texts = [None, "", " \n", "... !", "ab cd ef", "ab cd ef", LONG, near, f"before {ITEM} after", "key: password = hunter2hunter2", "key: password = hunter2hunter2", "tail"]
+    rows = [(i, t, "en" if t else None, None, None, i, "s", None, i) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, "no id but letters", "en", "s", 1, 1, "s", "t", 1), (None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([(1, ITEM), (None, None), (2, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.createDataFrame(rows, SCHEMA), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "odd")
+        kept[name] = sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i or 0))
+        if name == "secrets":
+            text = {r.doc_id: r for r in docs.collect()}
+        assert name == "encode" or docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert kept["language"] == [4, 4, 5, 6, 7, 8, 9, 10, 11, None]
+    assert kept["near_duplicates"] == [4, 4, 6, 8, 9, 11, None]
+    assert kept["benchmark"] == kept["secrets"] == kept["encode"] == [4, 4, 6, 9, 11, None]
+    assert text[9].text == "key: <assign>" and text[6].text == LONG and text[9].blob0 == 9 and text[9].salt0 == "s"
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), "empty")
+        assert docs.count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     df = corpus_pipeline.run(spark, SF)
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and df.count() > 100
