@@ -123,6 +123,28 @@ def class_ids(names: list[str]) -> list[int]:
     return [CLASS_NAMES.index(n) for n in names]
 
 
+def unstorable(names: list[str], most: int = 31) -> list[str]:
+    """Those of the class names whose id doesn't fit the map's packed class (FLT9, EXT19)."""
+    return [n for n, i in zip(names, class_ids(names), strict=True) if not 0 <= i <= most]
+
+
+def class_weights(named: list[str], weight: float) -> list[float]:
+    """A weight for each class (EXT11): that given for the named ones, one for others, none for unlabelled returns."""
+    heavy = set(class_ids(named))
+    return [0.0 if n == "unlabeled" else weight if i in heavy else 1.0 for i, n in enumerate(CLASS_NAMES)]
+
+
+def available() -> list[str]:
+    """Names of the schedules (EXT6)."""
+    return sorted(SCHEDULES)
+
+
+def legend(s: Schedule) -> str:
+    """A schedule's rings as a Markdown table (EXT6)."""
+    rows = [f"| {r.ring} | {r.half_width_m:g} | {100 * r.cell_m:g} | {s.cells(r.ring)} |" for r in s.rings]
+    return "\n".join(["| ring | half width m | cell cm | cells |", "|---|---|---|---|", *rows])
+
+
 def digest(thresholds: dict | None = None) -> str:
     """SHA-256 of the thresholds, to refuse results made under others (EXT14)."""
     return hashlib.sha256(json.dumps(thresholds or THRESHOLDS, sort_keys=True).encode()).hexdigest()

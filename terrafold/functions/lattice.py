@@ -135,6 +135,19 @@ def slot(ix: Column, iy: Column, side: Column) -> Column:
     return F.pmod(iy, side) * side + F.pmod(ix, side)
 
 
+def strips(shifts: DataFrame) -> DataFrame:
+    """Cells that come into a window, with their slots (LAT18): rows of a window (x0, y0, side, offset) and its place before
+    (px, py); the columns that are new, and of the others the rows that are new, so that no cell comes twice."""
+    side = F.col("side")
+    cut = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    new = lambda at, old: F.concat(cut(at, F.least(at + side, old)), cut(F.greatest(at, old + side), at + side))
+    old = lambda at, old: cut(F.greatest(at, old), F.least(at, old) + side)
+    x0, y0, px, py = map(F.col, ("x0", "y0", "px", "py"))
+    columns = shifts.select("*", F.explode(new(x0, px)).alias("ix")).select("*", F.explode(cut(y0, y0 + side)).alias("iy"))
+    rows = shifts.select("*", F.explode(new(y0, py)).alias("iy")).select("*", F.explode(old(x0, px)).alias("ix"))
+    return columns.unionByName(rows).withColumn("slot", F.col("offset") + slot(F.col("ix"), F.col("iy"), side))
+
+
 def centre(i: Column, cell_m: Column, origin_m: Column) -> Column:
     """Centre of a cell relative to an origin, in metres (LAT10)."""
     return (i + F.lit(0.5)) * cell_m - origin_m

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.config import THRESHOLDS as T
@@ -67,6 +67,49 @@ def removal(cells: DataFrame) -> DataFrame:
     return g.withColumn("f", F.when(F.col("dr") + F.col("sp") > 0, 2 * F.col("dr") * F.col("sp") / (F.col("dr") + F.col("sp"))).otherwise(0.0))
 
 
+def guard(points: DataFrame, far_m: float = 10.0, most_cm: float = 200.0) -> DataFrame:
+    """The frames at which the axes are checked (FLT13): the first, and the first whose vehicle (x_m) is far_m on; whether the
+    median height of the ground there is near zero, as it is if up is up. Medians are of whole centimetres of a bounded band."""
+    g = points.groupBy("frame").agg(F.min("x_m").alias("x_m"), F.median(F.when(F.col("g") == 1, F.col("z_cm"))).alias("ground_cm"))
+    first = g.agg(F.min_by("x_m", "frame").alias("x0"), F.min("frame").alias("f0"))
+    at = g.crossJoin(F.broadcast(first))  # one row
+    far = at.filter(F.abs(F.col("x_m") - F.col("x0")) >= far_m).agg(F.min("frame").alias("f1"))
+    at = at.crossJoin(F.broadcast(far)).filter((F.col("frame") == F.col("f0")) | (F.col("frame") == F.col("f1")))
+    return at.select("frame", "ground_cm", (F.abs("ground_cm") <= most_cm).alias("upright"))
+
+
+def assert_upright(checked: DataFrame) -> None:
+    """An error that names the frames, two at most, whose ground isn't near zero (FLT13)."""
+    bad = checked.filter(~F.coalesce("upright", F.lit(True))).collect()
+    if bad:
+        raise ValueError("the world isn't z-up: " + ", ".join(f"ground at {r.ground_cm} cm in frame {r.frame}" for r in bad))
+
+
+def in_footprint(x_mm: Column, y_mm: Column, half_mm: int = 100_000) -> Column:
+    """Inside the square of the baselines (FLT16)."""
+    return (x_mm >= -half_mm) & (x_mm < half_mm) & (y_mm >= -half_mm) & (y_mm < half_mm)
+
+
+def in_layers(z_cm: Column) -> Column:
+    """Inside the height layers of the dense baseline (FLT16)."""
+    return (z_cm >= T["z_min_cm"]) & (z_cm < T["z_max_cm"])
+
+
+def save_reference(ref: DataFrame, path: str, tile: int = 2048) -> None:
+    """The reference map as Parquet by tile of i, so that a window reads only its files (SRC15)."""
+    ref.withColumn("tile", F.floor(F.col("i") / tile)).write.mode("overwrite").partitionBy("tile").parquet(path)
+
+
+def load_reference(spark, path: str, low: int | None = None, high: int | None = None, tile: int = 2048) -> DataFrame:
+    """A saved reference map, or its cells with low <= i < high (SRC15)."""
+    ref = spark.read.parquet(path)
+    if low is not None:
+        ref = ref.filter((F.col("tile") >= low // tile) & (F.col("i") >= low))
+    if high is not None:
+        ref = ref.filter((F.col("tile") <= (high - 1) // tile) & (F.col("i") < high))
+    return ref.drop("tile")
+
+
 def monotonicity(rows: DataFrame, size: str, value: str, name: str) -> DataFrame:
     """rows, a handful of schedules, with ``worse``: a smaller one that has a larger value than the next larger (AGG29)."""
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc(size), name)

@@ -8,11 +8,14 @@ state is one row per cell.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.config import FREE, OCCUPIED, THRESHOLDS as T
-from terrafold.config import UNKNOWN
+from terrafold.config import BLIND, FREE, OCCUPIED, THRESHOLDS as T
+from terrafold.config import UNKNOWN, VARIANCE, Schedule
+from terrafold.functions import lattice as L
 from terrafold.functions.sensor import let, quantise_variance, variance_cm2
 from terrafold.operators.scatter import mean_height_cm
 
@@ -51,6 +54,36 @@ def step(s: Column, x: Column) -> Column:
     return let(height, lambda h: F.struct(*(v.cast("int").alias(f) for v, f in zip([h["mu"], h["code"], *rest], FIELDS, strict=True))))
 
 
+def code_of(variance: float) -> int:
+    """quantise_variance for one number: the largest code whose variance is at least that."""
+    return max(0, bisect.bisect_right(_FALLING, -max(variance, 1e-12)) - 1)
+
+
+def stepped(s: tuple, z: int, w_sum: int, count: int, refl_sum: int, ceiling_cm: int, cls: int) -> tuple:
+    """step for one cell in plain numbers, for state that is kept outside of Spark's expressions; s: FIELDS in order."""
+    mu, code, ceil, odds, cand, cnt, _, n = s
+    if w_sum > 0:
+        prior, meas = VARIANCE[code] + T["process_noise_m2_per_s"] * 1e4 * T["frame_dt_s"], T["weight_scale"] / w_sum
+        gain = prior / (prior + meas)
+        mu, var = (float(z), meas) if n == 0 else (mu + gain * (z - mu), (1.0 - gain) * prior)
+        code = code_of(var)
+    else:  # no ground was seen; uncertainty grows
+        code = code_of(VARIANCE[code] + T["process_noise_m2_per_s"] * 1e4 * T["frame_dt_s"])
+    cand, cnt = (cls, 1) if cnt == 0 else (cand, min(cnt + 1, 7)) if cand == cls else (cand, cnt - 1)
+    return round(mu), code, min(ceil, ceiling_cm), min(odds + T["hit"], T["odds_max"]), cand, cnt, max(0, min(255, refl_sum // count)), min(n + count, 255)
+
+
+_FALLING = [-v for v in VARIANCE]
+EMPTY_STATE = (0, 0, T["no_ceiling"], 0, 0, 0, 0, 0)
+
+
+def mark_blind(state: DataFrame, s: Schedule, ego_mm: tuple[int, int]) -> DataFrame:
+    """state with the flag of cells whose centre lies in the cone below the sensor (ST10); the others have none."""
+    size = L.cell_mm(F.col("ring"), s)
+    x, y = ((F.col(i) + 0.5) * size - e for i, e in zip(("ix", "iy"), ego_mm, strict=True))
+    return state.withColumn("flags", F.when(F.sqrt(x * x + y * y) < T["blind_m"] * 1000, BLIND).otherwise(0))
+
+
 def fold(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     """State of each cell (ring, ix, iy) after all frames of a scatter result.
 

@@ -6,6 +6,8 @@ come from whole images, which are of bounded size.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,13 +31,23 @@ def project(points: DataFrame, payload: list[str]) -> DataFrame:
 
 
 def projection_stats(points: DataFrame) -> DataFrame:
-    """Counts of a projection per frame (AGG7)."""
+    """Counts and fractions of a projection per frame (AGG7)."""
     p, ok = with_pixel(points), F.col("r") > 1e-6
     filled = F.count_distinct(F.when(ok, F.col("v") * T["columns"] + F.col("u")))
-    return p.groupBy("frame").agg(
+    g = p.groupBy("frame").agg(
         F.count("*").alias("n_input"), F.count_if(~ok).alias("n_zero_range"), F.count_if(ok & (F.col("v_raw") < 0)).alias("n_clamped_above"),
         F.count_if(ok & (F.col("v_raw") >= T["rows"])).alias("n_clamped_below"), filled.alias("n_filled"),
     )
+    out = F.try_divide((F.col("n_clamped_above") + F.col("n_clamped_below")).cast("double"), F.col("n_input") - F.col("n_zero_range"))
+    return g.withColumns({"fill_fraction": F.col("n_filled") / F.lit(float(T["rows"] * T["columns"])), "out_of_fov": out})
+
+
+def warn_out_of_view(stats: DataFrame, most: float = 0.15) -> list[int]:
+    """The frames, a row each, of which more than a share lay outside the image; a warning names them (AGG7)."""
+    frames = [r.frame for r in stats.filter(F.col("out_of_fov") > most).select("frame").orderBy("frame").collect()]
+    if frames:
+        warnings.warn(f"more than {most:.0%} of the returns of {len(frames)} frames lie outside the image: {frames[:5]}", stacklevel=2)
+    return frames
 
 
 def incidence(image: DataFrame) -> DataFrame:

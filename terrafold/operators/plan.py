@@ -10,10 +10,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.config import THRESHOLDS as T
+from terrafold.config import Schedule, stencil_k
+from terrafold.functions import lattice as L
+from terrafold.functions.sensor import variance_cm2
+from terrafold.operators.stencil import gather
 
 DIAGONAL = math.sqrt(2.0)
 STEPS = [(dx, dy, DIAGONAL if dx and dy else 1.0) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
@@ -39,6 +43,113 @@ def costmap(cells: DataFrame, factor: int) -> DataFrame:
     return g.select("tile", "i", "j", "n", z.alias("z_cm"), (F.col("s2") / F.col("n") - z * z).alias("var_cm2"), "cls", "soft")
 
 
+def samples(spark: SparkSession, s: Schedule, x0_mm: int, y0_mm: int, nx: int, ny: int, ego_mm: tuple[int, int], cell_mm: int = round(1000 * T["plan_cell_m"]), per_side: int = 5) -> DataFrame:
+    """The distinct map cells that each planning cell (i, j) of a window samples, per_side x per_side points each (JN14).
+
+    A window is a fixed number of cells around the vehicle, whatever the size of the map.
+    """
+    w = spark.range(nx * ny).select((F.col("id") % nx).alias("i"), F.expr(f"id DIV {nx}").alias("j"))
+    step = cell_mm // per_side
+    at = F.explode(F.sequence(F.lit(0), F.lit(per_side - 1)))
+    w = w.withColumn("du", at).withColumn("dv", at)
+    x, y = (F.lit(o).cast("bigint") + F.col(c) * cell_mm + F.col(d) * step + step // 2 for o, c, d in ((x0_mm, "i", "du"), (y0_mm, "j", "dv")))
+    w = w.select("i", "j", x.alias("x"), y.alias("y"))
+    w = w.withColumn("ring", L.ring_of_mm(F.col("x") - ego_mm[0], F.col("y") - ego_mm[1], s)).filter("ring IS NOT NULL")
+    return w.select("i", "j", "ring", L.index(F.col("x"), F.col("ring"), s).alias("ix"), L.index(F.col("y"), F.col("ring"), s).alias("iy")).distinct()
+
+
+def lattice_bits(known: DataFrame, nx: int, ny: int, cell_m: float = T["plan_cell_m"]) -> DataFrame:
+    """All planning cells of a window with their bits, from those known (i, j, n, z_cm, var_cm2, cls, soft) (STN9, QRY7, QRY8).
+
+    Slope and step are differenced on the planning lattice over the baseline; what isn't known on either side is no evidence,
+    and the outermost rows have no slope across the edge. Clearance isn't judged, as a reference of ground has no ceiling.
+    """
+    k = stencil_k(cell_m, T["baseline_m"])
+    w = known.sparkSession.range(nx * ny).select((F.col("id") % nx).alias("i"), F.expr(f"id DIV {nx}").alias("j"))
+    c = w.join(known, ["i", "j"], "left").select(F.lit(0).alias("tile"), F.col("i").alias("ix"), F.col("j").alias("iy"), F.coalesce("n", F.lit(0)).alias("n"), "z_cm", "var_cm2", "cls", F.coalesce("soft", F.lit(0)).alias("soft"))
+    g = gather(c, {"e": (k, 0), "w": (-k, 0), "u": (0, k), "d": (0, -k)}, ["z_cm"])
+    z, of = F.col("z_cm"), lambda c: F.col(f"{c}.z_cm")
+    dx = F.when(F.col("ix").isin(0, nx - 1), 0.0).otherwise((of("e") - of("w")) / 100 / (2 * k * F.lit(cell_m)))
+    dy = F.when(F.col("iy").isin(0, ny - 1), 0.0).otherwise((of("u") - of("d")) / 100 / (2 * k * F.lit(cell_m)))
+    slope = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+    step = F.coalesce(F.greatest(*(F.abs(of(c) - z) for c in "ewud")), F.lit(0.0))
+    flag = lambda cond, bit: F.when(cond, bit).otherwise(0)
+    bits = flag(slope > math.tan(math.radians(T["theta_max_deg"])), 2) + flag(step > T["s_max_cm"], 4)
+    bits = bits + flag((F.coalesce("var_cm2", F.lit(0.0)) > T["sigma2_max_m2"] * 1e4) | (F.col("soft").bitwiseAND(8) != 0), 8)
+    bits = bits + flag(~F.coalesce(F.col("cls").isin(T["drivable"]), F.lit(False)), 16) + flag(F.col("n") < T["n_min"], 32)
+    return g.select(F.col("ix").alias("i"), F.col("iy").alias("j"), "n", "z_cm", "var_cm2", "cls", bits.alias("trav"), (F.col("n") == 0).alias("unknown"))
+
+
+def gridmap(state: DataFrame, sampled: DataFrame) -> DataFrame:
+    """What a map tells of planning cells (QRY7): counts summed over the distinct cells sampled, their count-weighted height and
+    its spread between them, class of the largest count, roughness of any; ties go to the finest and then first cell."""
+    rough = F.when(variance_cm2(F.col("code")) * 1e-4 > T["sigma2_max_m2"], 8).otherwise(0)
+    c = sampled.join(state.filter(F.col("n") >= T["unknown_below"]), ["ring", "ix", "iy"]).withColumn("w", F.greatest("n", F.lit(1)).cast("bigint"))
+    g = c.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("mu")).alias("s1"), F.sum(F.col("w") * F.col("mu") * F.col("mu")).alias("s2"),
+        F.max_by("cand", F.struct("w", -F.col("ring"), -F.col("ix"), -F.col("iy"))).alias("cls"), F.bit_or(rough).alias("soft"),
+    )
+    z = F.col("s1") / F.col("sw")
+    return g.select("i", "j", "n", z.alias("z_cm"), F.greatest(F.lit(0.0), F.col("s2") / F.col("sw") - z * z).alias("var_cm2"), "cls", "soft")
+
+
+def reference_cells(ref: DataFrame, x0_mm: int, y0_mm: int, nx: int, ny: int, cell_mm: int = round(1000 * T["plan_cell_m"]), fine_mm: int = 50) -> DataFrame:
+    """What a reference map (i, j, sz, n, cls in fine cells) tells of the planning cells of a window (QRY8)."""
+    inside = lambda c, o, n: (F.col(c) * fine_mm >= o) & (F.col(c) * fine_mm < o + n * cell_mm)
+    p = ref.filter(inside("i", x0_mm, nx) & inside("j", y0_mm, ny))
+    at = lambda c, o: F.floor((F.col(c) * fine_mm - o) / cell_mm)
+    p = p.select(at("i", x0_mm).alias("i"), at("j", y0_mm).alias("j"), (F.col("sz") / F.col("n")).alias("m"), "cls")
+    c = p.groupBy("i", "j", "cls").agg(F.count("*").alias("c"), F.sum("m").alias("s1"), F.sum(F.col("m") * F.col("m")).alias("s2"))
+    g = c.groupBy("i", "j").agg(F.sum("c").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max_by("cls", F.struct("c", -F.col("cls"))).alias("cls"))
+    z = F.col("s1") / F.col("n")
+    return g.select("i", "j", "n", z.alias("z_cm"), F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - z * z).alias("var_cm2"), "cls", F.lit(0).alias("soft"))
+
+
+def from_cost(costs: DataFrame) -> DataFrame:
+    """Rows of each sum of soft weights (roughness, class, doubt), the bits that make it, and those that none explains (AGG25)."""
+    sums = [(8 * a + 16 * b + 32 * c, T["w_base"] + a * T["w_roughness"] + b * T["w_class"] + c * T["w_unknown"]) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    dim = costs.sparkSession.createDataFrame(sums, "bits int, cost double")
+    return costs.filter("cost IS NOT NULL").join(F.broadcast(dim), "cost", "left").groupBy("cost", "bits").agg(F.count("*").alias("cells"))
+
+
+def plan_queries(n: int, side: int, seed: int = 0, family: str = "longitudinal", lane: int = 6) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Starts and goals on opposite edges of a window (QRY16), by numpy's seeded generator: along the lane, the first of them
+    ``lane`` cells beside the middle, or across it."""
+    if family not in ("longitudinal", "lateral"):
+        raise ValueError(f"family must be longitudinal or lateral, not {family!r}")
+    along, r = family == "longitudinal", np.random.default_rng(seed)
+    out = [((1, side // 2 - lane), (side - 2, side // 2 - lane))] if along else []
+    while len(out) < n:
+        a, b = int(r.integers(1, side - 1)), int(r.integers(1, side - 1))
+        out.append(((1, a), (side - 2, b)) if along else ((a, 1), (b, side - 2)))
+    return out[:n]
+
+
+REGRETS = "tile int, query int, found boolean, best double, paid double, regret double"
+
+
+def regrets(mine: DataFrame, truth: DataFrame, queries: list[tuple[tuple[int, int], tuple[int, int]]], cell_m: float = T["plan_cell_m"]) -> DataFrame:
+    """Regret of many queries on each tile (QRY13 over QRY16): planned on one map (tile, ix, iy, cost), paid for on the other.
+
+    A tile is a planning window of fixed size; distances of equal starts are made once.
+    """
+    both = mine.select("tile", "ix", "iy", F.col("cost").alias("a")).join(truth.select("tile", "ix", "iy", F.col("cost").alias("b")), ["tile", "ix", "iy"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (grid(pdf[["ix", "iy", c]].rename(columns={c: "cost"})) for c in "ab")
+        far_a, far_b = ({s: distances(c, s, cell_m) for s, _ in queries} for c in (a, b))
+        rows = []
+        for k, (s, g) in enumerate(queries):
+            best, found = float(far_b[s][g]), bool(np.isfinite(far_a[s][g]))
+            path = walk(far_a[s], a, s, g, cell_m) if found else []
+            paid = sum(b[q] * math.hypot(q[0] - p[0], q[1] - p[1]) * cell_m for p, q in zip(path, path[1:], strict=False))
+            known = found and math.isfinite(best) and math.isfinite(paid) and best > 0
+            rows.append((int(pdf["tile"].iloc[0]), k, found, best if math.isfinite(best) else None, float(paid) if known else None, (paid - best) / best if known else None))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in REGRETS.split(", ")])
+
+    return both.groupBy("tile").applyInPandas(run, REGRETS)
+
+
 def grid(pdf: pd.DataFrame) -> np.ndarray:
     out = np.full((int(pdf["ix"].max()) + 1, int(pdf["iy"].max()) + 1), np.inf)
     out[pdf["ix"], pdf["iy"]] = pdf["cost"].astype(float).fillna(np.inf)

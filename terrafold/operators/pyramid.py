@@ -12,12 +12,12 @@ SAFE, BLOCKED, MIXED = 0, 1, 2
 
 
 def build(cells: DataFrame, levels: int) -> DataFrame:
-    """Bounds of 2x2 blocks of every level from 1 on (AGG12).
+    """Bounds of 2x2 blocks of every level (AGG12); level 0 is the cells themselves (EXT3).
 
     Each cell gives a row to each of its ancestors; partial aggregation brings those of a task together before the one
     shuffle, so all levels come from one pass and no level waits for the one below.
     """
-    up = cells.select("tile", "ix", "iy", "ground_cm", "ceiling_cm", "n", "trav", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"))
+    up = cells.select("tile", "ix", "iy", "ground_cm", "ceiling_cm", "n", "trav", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     return up.groupBy("tile", "level", F.expr("shiftright(ix, level)").alias("bx"), F.expr("shiftright(iy, level)").alias("by")).agg(
         F.max("ground_cm").alias("h_max"), F.min("ground_cm").alias("h_min"), F.min("ceiling_cm").alias("c_min"), F.min("n").alias("n_min"),
         F.bit_and("trav").alias("and_mask"), F.bit_or("trav").alias("or_mask"),

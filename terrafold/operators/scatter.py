@@ -23,6 +23,19 @@ def bin_points(points: DataFrame, s: Schedule) -> DataFrame:
     return p.withColumn("ix", L.index(F.col("xw_mm"), F.col("ring"), s)).withColumn("iy", L.index(F.col("yw_mm"), F.col("ring"), s))
 
 
+def in_windows(binned: DataFrame, windows: DataFrame) -> DataFrame:
+    """binned points inside their ring's window in their frame (frame, ring, x0, y0, side, offset), with the slot of their cell
+    (LAT8, LAT9); the windows are a few rows a frame."""
+    b = binned.join(F.broadcast(windows), ["frame", "ring"]).filter(L.in_view(F.col("ix"), F.col("iy"), F.col("x0"), F.col("y0"), F.col("side")))
+    return b.withColumn("slot", F.col("offset") + L.slot(F.col("ix"), F.col("iy"), F.col("side"))).drop("x0", "y0", "side", "offset")
+
+
+def validated(points: DataFrame) -> DataFrame:
+    """points, with an error for a class that the map can't store (EXT19, EXT20)."""
+    bad = F.col("cls").isNull() | ~F.col("cls").between(0, T["unlabelled"])
+    return points.withColumn("cls", F.when(bad, F.raise_error(F.concat(F.lit("class can't be stored: "), F.coalesce(F.col("cls").cast("string"), F.lit("null")))).cast("int")).otherwise(F.col("cls")))
+
+
 def weight(points: DataFrame) -> Column:
     """Weight of a return by its range (TX12, TX13)."""
     r = F.sqrt((F.col("xv_mm") * F.col("xv_mm") + F.col("yv_mm") * F.col("yv_mm") + F.col("z_cm") * F.col("z_cm") * 100).cast("double")) / 1000

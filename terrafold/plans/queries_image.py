@@ -48,10 +48,11 @@ def agg06_range_image(spark, sf_dir):
     return projected(spark, sf_dir).select("frame", "v", "u", F.round("r", 6).alias("r"), "point_id")
 
 
-@register(f"""WITH {SENSED} SELECT frame, count(*) AS n_input, count(*) FILTER (r <= 1e-6) AS n_zero_range, count(*) FILTER (r > 1e-6 AND v_raw < 0) AS n_clamped_above,
- count(*) FILTER (r > 1e-6 AND v_raw >= 64) AS n_clamped_below, count(DISTINCT v * 512 + u) AS n_filled FROM pv GROUP BY frame""")
+@register(f"""WITH {SENSED}, st AS (SELECT frame, count(*) AS n_input, count(*) FILTER (r <= 1e-6) AS n_zero_range, count(*) FILTER (r > 1e-6 AND v_raw < 0) AS n_clamped_above,
+ count(*) FILTER (r > 1e-6 AND v_raw >= 64) AS n_clamped_below, count(DISTINCT v * 512 + u) AS n_filled FROM pv GROUP BY frame)
+SELECT *, round(n_filled / 32768e0, 6) AS fill_fraction, round((n_clamped_above + n_clamped_below) / CAST(n_input - n_zero_range AS DOUBLE), 6) AS out_of_fov FROM st""")
 def agg07_projection_stats(spark, sf_dir):
-    return image.projection_stats(sensed(spark, sf_dir))
+    return image.projection_stats(sensed(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("fill_fraction", "out_of_fov")})
 
 
 INCIDENCE = f"""{SENSED}, inc AS (

@@ -197,14 +197,18 @@ def tx08_labels(spark, sf_dir):
     return p.select("frame", "point_id", cls.alias("cls"), F.when(cls == -1, 31).otherwise(cls).alias("learning"), F.col("raw").between(*C.MOVING).alias("moving"), cls.isin(C.THRESHOLDS["drivable"]).alias("ground"))
 
 
-@register("""SELECT ring, cell_m, round(half * 2 * pi() / 1800, 9) AS s_az_m, round(1.73e0 / tan(radians(24.8e0)), 9) AS blind_m, round(cell_m * 1800 / (2 * pi()), 9) AS r_max_m
+@register("""SELECT ring, cell_m, round(half * 2 * pi() / 1800, 9) AS s_az_m, round(1.73e0 / tan(radians(24.8e0)), 9) AS blind_m, round(cell_m * 1800 / (2 * pi()), 9) AS r_max_m,
+ round(half * half * radians(26.9e0 / 63) / 1.73e0, 9) AS s_rad_m, round(least(1e0, cell_m / (half * half * radians(26.9e0 / 63) / 1.73e0)) * least(1e0, cell_m / (half * radians(0.2e0))), 9) AS p_fill, round(sqrt(0.5e0 * 1.73e0 / radians(26.9e0 / 63)), 9) AS hole_50cm_m
 FROM (VALUES (0, 10e0, 0.05e0), (1, 25e0, 0.1e0), (2, 50e0, 0.2e0), (3, 100e0, 0.4e0)) t(ring, half, cell_m)""")
 def tx22_sampling(spark, sf_dir):
-    """Azimuth spacing at a ring's edge, blind radius, range up to which a cell holds a return (TX22)."""
+    """Spacing along azimuth and range at a ring's edge, chance of a return in a cell, blind radius, limits (TX22)."""
     import math
 
-    r = L.rings(spark, S)
-    return r.select("ring", "cell_m", F.round(F.col("half_width_m") * 2 * math.pi / 1800, 9).alias("s_az_m"), F.round(F.lit(1.73 / math.tan(math.radians(24.8))), 9).alias("blind_m"), F.round(F.col("cell_m") * 1800 / (2 * math.pi), 9).alias("r_max_m"))
+    half, cell, beam = F.col("half_width_m"), F.col("cell_m"), math.radians(26.9 / 63)
+    s_rad = half * half * beam / 1.73
+    fill = F.least(F.lit(1.0), cell / s_rad) * F.least(F.lit(1.0), cell / (half * math.radians(0.2)))
+    told = {"s_az_m": half * 2 * math.pi / 1800, "blind_m": F.lit(1.73 / math.tan(math.radians(24.8))), "r_max_m": cell * 1800 / (2 * math.pi), "s_rad_m": s_rad, "p_fill": fill, "hole_50cm_m": F.lit(math.sqrt(0.5 * 1.73 / beam))}
+    return L.rings(spark, S).select("ring", "cell_m", *(F.round(v, 9).alias(k) for k, v in told.items()))
 
 
 @register("""SELECT 'map' AS part, CAST(745000 AS BIGINT) AS cells, CAST(12 * 745000 AS BIGINT) AS bytes UNION ALL SELECT 'uniform_5cm', 16000000, 192000000 UNION ALL SELECT 'dense_3d', 2560000000, 2560000000 UNION ALL SELECT 'pool', 8192, 98304 UNION ALL SELECT 'transient', 910000, 3640000""")

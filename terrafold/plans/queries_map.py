@@ -99,7 +99,7 @@ def stn04_potholes(spark, sf_dir):
     return stencil.potholes(field(spark, sf_dir), SIDE, CELL)
 
 
-PYR = f"""{_bits()}, lv(level) AS (VALUES (1), (2), (3), (4), (5), (6)),
+PYR = f"""{_bits()}, lv(level) AS (VALUES (0), (1), (2), (3), (4), (5), (6)),
 pyr AS (SELECT tile, level, ix >> level AS bx, iy >> level AS by_, max(ground_cm) AS h_max, min(ground_cm) AS h_min, min(ceiling_cm) AS c_min, min(n) AS n_min, bit_and(trav) AS and_mask, bit_or(trav) AS or_mask
         FROM bits, lv GROUP BY ALL)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold import api
 from terrafold import config as C
-from terrafold.operators import evalmap, fold, plan
+from terrafold.operators import evalmap, fold
 from terrafold.operators.scatter import moving
 from terrafold.plans import oracle as O
 from terrafold.plans.queries_image import SENSED, projected, sensed
@@ -52,13 +52,13 @@ def agg23_iou(spark, sf_dir):
     return g.withColumn("iou", F.round(F.col("inter") / F.col("either"), 6))
 
 
-@register(f"WITH {SENSED} SELECT frame, v, u // 8 AS f, max(refl) AS top, round(CAST(sum(refl) AS DOUBLE) / count(*), 6) AS mean, min(z_mm) AS low FROM (SELECT *, CAST(round_even(z * 1000, 0) AS BIGINT) AS z_mm FROM pv) GROUP BY frame, v, u // 8")
+@register(f"WITH {SENSED} SELECT frame, v, u // 8 AS f, max(refl) AS top, arg_max(point_id, refl * CAST(100000000000000000 AS HUGEINT) - point_id) AS top_id, round(CAST(sum(refl) AS DOUBLE) / count(*), 6) AS mean, min(z_mm) AS low FROM (SELECT *, CAST(round_even(z * 1000, 0) AS BIGINT) AS z_mm FROM pv) GROUP BY frame, v, u // 8")
 def agg24_frustum_pool(spark, sf_dir):
-    """Largest and mean feature of each frustum (AGG24, EXT9)."""
+    """Largest feature, whose it is, and mean of each frustum (AGG24, EXT9)."""
     from terrafold.operators.image import with_pixel
 
     p = with_pixel(sensed(spark, sf_dir)).groupBy("frame", "v", F.floor(F.col("u") / 8).cast("int").alias("f"))
-    return p.agg(F.max("refl").alias("top"), F.round(F.sum("refl") / F.count("*"), 6).alias("mean"), F.min(F.rint(F.col("z") * 1000).cast("bigint")).alias("low"))
+    return p.agg(F.max("refl").alias("top"), F.max_by("point_id", F.struct("refl", -F.col("point_id"))).alias("top_id"), F.round(F.sum("refl") / F.count("*"), 6).alias("mean"), F.min(F.rint(F.col("z") * 1000).cast("bigint")).alias("low"))
 
 
 @register(f"""WITH {O.FOLD}{REF}, c AS (SELECT s.ring AS ring, s.mu - b.mean_ref AS err, n_ref, var_ref FROM state s JOIN blocks b ON b.ring = s.ring AND b.ix = s.ix AND b.iy = s.iy WHERE s.n > 0 AND s.code > 0 AND s.mu > -200 AND s.mu < 600),
@@ -146,22 +146,6 @@ def qry08_reference_costs(spark, sf_dir):
     return g.select("i", "j", "n", F.round(z, 4).alias("z_cm"), trav.cast("int").alias("trav"))
 
 
-@register("""WITH q AS (SELECT unnest(range(0, 64)) AS q) SELECT q, q % 8 * 3 AS sx, (q * 7) % 20 AS sy, 20 + q % 4 AS gx, (q * 11) % 23 AS gy, CASE WHEN q % 2 = 0 THEN 'across' ELSE 'along' END AS family FROM q""")
-def qry16_plan_queries(spark, sf_dir):
-    """A fixed set of start and goal cells (QRY16)."""
-    q = F.col("id")
-    return spark.range(64).select(q.alias("q"), (q % 8 * 3).alias("sx"), (q * 7 % 20).alias("sy"), (20 + q % 4).alias("gx"), (q * 11 % 23).alias("gy"), F.when(q % 2 == 0, "across").otherwise("along").alias("family"))
-
-
-@register()
-def agg28_regret_average(spark, sf_dir):
-    """Mean and spread of regret over tiles, found and blocked counted (AGG28)."""
-    from terrafold.plans.queries_plan import GOAL, START, costs
-
-    r = plan.regret(costs(spark, sf_dir, False), costs(spark, sf_dir), START, GOAL)
-    return r.agg(F.count("*").alias("queries"), F.count_if(F.col("found")).alias("found"), F.count("regret").alias("finite"), F.round(F.avg("regret"), 6).alias("mean_regret"), F.round(F.stddev("regret"), 6).alias("sd"))
-
-
 @register(f"WITH {O.FOLD} SELECT ring, count(*) FILTER (n >= 255) AS saturated, count(*) FILTER (cnt = 0) AS undecided, count(*) FILTER (ceil < 32767) AS covered, round(avg(CAST(n >= 3 AS INT)), 6) AS evident FROM state GROUP BY ring")
 def viz03_layer_counts(spark, sf_dir):
     """What a viewer's layers would hold per ring (VIZ2-4, EXT5, AGG18)."""

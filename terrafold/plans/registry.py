@@ -183,4 +183,4 @@ def agg17_overlap(spark, sf_dir):
     return o.withColumn("iou", F.round("iou", 6)).withColumn("fill", F.round("fill", 6))
 
 
-from terrafold.plans import queries_image, queries_lattice, queries_map, queries_more, queries_plan  # noqa: E402, F401
+from terrafold.plans import queries_engine, queries_image, queries_lattice, queries_map, queries_more, queries_plan  # noqa: E402, F401

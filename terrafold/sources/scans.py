@@ -121,6 +121,24 @@ def world_poses(spark: SparkSession, root: str, seq: str, source: str | None = N
     return poses(spark, pose_path(root, seq, source, spark)).select("frame", frames.vehicle_to_world(F.col("m"), tr).alias("t_vw"))
 
 
+def final_xy(spark: SparkSession, root: str, seq: str, most: int | None = None) -> tuple[float, float]:
+    """Where the vehicle is in the world in the last frame, or in the last of the first ``most`` (EXT17)."""
+    p = world_poses(spark, root, seq)
+    p = p if most is None else p.filter(F.col("frame") < most)
+    t = p.agg(F.max_by("t_vw", "frame")).first()[0]
+    return t[3], t[7]
+
+
+def status(spark: SparkSession, root: str) -> DataFrame:
+    """Scans, labels and poses that each sequence below a root has (EXT21), from the file listing alone but for the poses."""
+    listed = lambda of, glob, kind: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(of).select(F.regexp_extract("path", kind, 1).alias("seq"))
+    count = lambda df, name: df.groupBy("seq").agg(F.count("*").alias(name))
+    lines = spark.read.text(f"{root}/poses").filter(F.trim("value") != "").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("seq"))
+    out = count(listed(f"{root}/sequences/*/velodyne", "*.bin", r"sequences/([^/]+)/velodyne"), "scans")
+    out = out.join(count(listed(f"{root}/sequences/*/labels", "*.label", r"sequences/([^/]+)/labels"), "labels"), "seq", "full").join(count(lines, "poses"), "seq", "full")
+    return out.na.fill(0)
+
+
 def points(spark: SparkSession, root: str, seq: str, start: int = 0, most: int | None = None, source: str | None = None) -> DataFrame:
     """Points of a sequence as the operators take them (SRC11): vehicle and world in whole millimetres, height in centimetres.
 

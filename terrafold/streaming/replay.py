@@ -13,25 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrafold.operators.fold import EMPTY, FIELDS, observation, step
+from terrafold.operators.fold import EMPTY, EMPTY_STATE, FIELDS, observation, step, stepped
 
-VOTE_OUT = "ring int, ix bigint, iy bigint, frame int, cand int, cnt int, odds int, n int"
-VOTE_STATE = "frame int, cand int, cnt int, odds int, n int"
+STATE_OUT = "ring int, ix bigint, iy bigint, frame int, " + ", ".join(f"{f} int" for f in FIELDS)
+STATE = "frame int, " + ", ".join(f"{f} int" for f in FIELDS)
 
 
 def _fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    frame, cand, cnt, odds, n = state.get if state.exists else (-1, 0, 0, 0, 0)
+    frame, *s = state.get if state.exists else (-1, *EMPTY_STATE)
     for r in pd.concat(list(rows)).sort_values("frame").itertuples():
-        frame, odds, n = int(r.frame), min(odds + 4, 63), min(n + int(r.n), 255)
-        cand, cnt = (int(r.cls), 1) if cnt == 0 else (cand, min(cnt + 1, 7)) if cand == r.cls else (cand, cnt - 1)
-    state.update((frame, cand, cnt, odds, n))
-    yield pd.DataFrame([(*key, frame, cand, cnt, odds, n)], columns=["ring", "ix", "iy", "frame", "cand", "cnt", "odds", "n"])
+        frame, s = int(r.frame), stepped(tuple(s), *(int(v) for v in (r.z, r.w_sum, r.count_, r.refl_sum, r.ceiling_cm, r.cls)))
+    state.update((frame, *s))
+    yield pd.DataFrame([(*key, frame, *s)], columns=["ring", "ix", "iy", "frame", *FIELDS])
 
 
 def stateful(cells: DataFrame) -> DataFrame:
-    """Vote, log-odds and counts of each cell after every micro-batch of scatter rows (ring, ix, iy, frame, n, cls)."""
-    c = cells.select("ring", "ix", "iy", "frame", "n", "cls")
-    return c.groupBy("ring", "ix", "iy").applyInPandasWithState(_fold, VOTE_OUT, VOTE_STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of each cell after every micro-batch of scatter rows, kept in the state store: all fields, by the same step."""
+    x = observation()
+    c = cells.select("ring", "ix", "iy", x.alias("x")).select("ring", "ix", "iy", "x.frame", "x.z", "x.w_sum", F.col("x.count").alias("count_"), "x.refl_sum", "x.ceiling_cm", "x.cls")
+    return c.groupBy("ring", "ix", "iy").applyInPandasWithState(_fold, STATE_OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def advance(state: DataFrame, frame_cells: DataFrame) -> DataFrame:

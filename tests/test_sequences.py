@@ -14,7 +14,7 @@ from terrafold.functions import frames
 from terrafold.functions import lattice as L
 from terrafold.operators import image, plan, tracks
 from terrafold.plans import registry  # noqa: F401  first, as the queries' modules add themselves to it
-from terrafold.plans import queries_image, queries_more, queries_plan
+from terrafold.plans import queries_engine, queries_image, queries_plan
 from terrafold.sources import scans
 from tests.test_core import relaxed
 
@@ -252,19 +252,84 @@ def test_path_queries_like_the_plain_version(spark):
                 assert (p in near[t]) == (slack < C.THRESHOLDS["corridor_tau"]) and (p not in near[t] or near[t][p] == pytest.approx(slack, abs=1e-5))
     regret = {x.tile: x for x in queries_plan.qry13_regret(spark, SF).collect()}
     paths = {x.tile: [(q["ix"], q["iy"]) for q in x.path] for x in plan.plan(queries_plan.costs(spark, SF, False), a, b).collect()}
-    values = []
     for t, c in true.items():
         p = paths[t]
         paid = sum(c[q] * math.dist(o, q) * 0.25 for o, q in zip(p, p[1:]))
         want = None if math.isinf(paid) or not p or not math.isfinite(best[t][b]) else (paid - best[t][b]) / best[t][b]
         got_t = regret[t].regret
         assert (got_t is None) == (want is None) and (want is None or got_t == pytest.approx(want, abs=1e-5))
-        values += [] if want is None else [want]
         assert math.isfinite(relaxed(flat[t], a)[b]) == regret[t].found_mine
-    row = queries_more.agg28_regret_average(spark, SF).first()
-    assert (row.queries, row.finite, row.found) == (len(true), len(values), sum(math.isfinite(best[t][b]) for t in true))
-    if len(values) > 1:
-        assert row.mean_regret == pytest.approx(np.mean(values), abs=1e-5) and row.sd == pytest.approx(np.std(values, ddof=1), abs=1e-5)
+
+
+def plain_regrets(mine, truth, queries):
+    """(found, best, paid, regret) of each query; of equal ways back to the smaller cell."""
+    out = []
+    for s, g in queries:
+        d, best = relaxed(mine, s), relaxed(truth, s)[g]
+        path = [g] if math.isfinite(d[g]) else []
+        while path and path[-1] != s:
+            x, y = path[-1]
+            near = [((x - i, y - j), size) for i, j, size in plan.STEPS if 0 <= x - i < mine.shape[0] and 0 <= y - j < mine.shape[1]]
+            path.append(min(near, key=lambda q: (d[q[0]] + mine[x, y] * q[1] * 0.25, q[0]))[0])
+        paid = sum(truth[p] * math.dist(p, q) * 0.25 for p, q in zip(path, path[1:]))
+        known = bool(path) and math.isfinite(best) and math.isfinite(paid) and best > 0
+        out.append((bool(path), best, paid if known else None, (paid - best) / best if known else None))
+    return out
+
+
+def test_seeded_queries():
+    r = np.random.default_rng(3)
+    want = [((1, 44 // 2 - 6), (42, 44 // 2 - 6))]
+    for _ in range(4):
+        a, b = int(r.integers(1, 43)), int(r.integers(1, 43))
+        want.append(((1, a), (42, b)))
+    assert plan.plan_queries(5, 44, 3) == want
+    assert all(s[1] == 1 and g[1] == 42 for s, g in plan.plan_queries(9, 44, family="lateral")) and len(plan.plan_queries(9, 44, family="lateral")) == 9
+    with pytest.raises(ValueError):
+        plan.plan_queries(1, 44, family="diagonal")
+
+
+def test_average_regret_like_the_plain_version(spark):
+    true, flat = grids(spark), grids(spark, False)
+    queries = [(q[2:4], q[4:6]) for q in queries_engine._queries]
+    assert len(queries) == 64
+    rows = {x.tile: x for x in queries_engine.agg28_regret_average(spark, SF).collect()}
+    assert rows.keys() == true.keys()
+    for t in list(true)[:2]:
+        r = plain_regrets(flat[t], true[t], queries)
+        values = [x[3] for x in r if x[3] is not None]
+        assert (rows[t].queries, rows[t].found, rows[t].blocked, rows[t].finite) == (64, sum(x[0] for x in r), sum(not x[0] for x in r), len(values))
+        if len(values) > 1:
+            assert rows[t].mean_regret == pytest.approx(np.mean(values), abs=1e-5) and rows[t].sd == pytest.approx(np.std(values, ddof=1), abs=1e-5)
+
+
+def test_window_regret_like_the_plain_version(spark):
+    def window(df):
+        c, unknown = np.full((64, 64), np.inf), np.ones((64, 64), bool)
+        for x in queries_engine.lattice_costs(df).collect():
+            c[x.ix, x.iy], unknown[x.ix, x.iy] = math.inf if x.cost is None else x.cost, x.unknown
+        return c, unknown
+
+    (mine, a), (truth, b) = (window(q(spark, SF)) for q in (queries_engine.qry07_gridmap, queries_engine.qry08_reference_lattice))
+    for c in (mine, truth):
+        c[a | b] = np.inf
+    queries = plan.plan_queries(8, 64) + plan.plan_queries(8, 64, family="lateral")
+    got = sorted(queries_engine.qry13_window_regret(spark, SF).collect(), key=lambda x: x.query)
+    for x, (found, best, paid, regret) in zip(got, plain_regrets(mine, truth, queries), strict=True):
+        assert x.found == found and (x.best is None) == math.isinf(best) and (x.regret is None) == (regret is None)
+        assert regret is None or (x.paid, x.regret) == (pytest.approx(paid, abs=1e-5), pytest.approx(regret, abs=1e-5))
+
+
+def test_regrets_on_open_ground(spark):
+    r = np.random.default_rng(4)
+    mine, truth = (r.choice([1.0, 3.0, 6.0, np.inf], (20, 20), p=[0.5, 0.3, 0.15, 0.05]) for _ in range(2))
+    df = [spark.createDataFrame([(0, i, j, None if math.isinf(c[i, j]) else float(c[i, j])) for i in range(20) for j in range(20)], "tile int, ix int, iy int, cost double") for c in (mine, truth)]
+    queries = plan.plan_queries(12, 20) + plan.plan_queries(12, 20, family="lateral")
+    got = sorted(plan.regrets(*df, queries).collect(), key=lambda x: x.query)
+    want = plain_regrets(mine, truth, queries)
+    assert sum(x[3] is not None for x in want) > 3
+    for x, (found, best, paid, regret) in zip(got, want, strict=True):
+        assert x.found == found and (regret is None) == (x.regret is None) and (regret is None or x.regret == pytest.approx(regret))
 
 
 def plain_frechet(a, b):
