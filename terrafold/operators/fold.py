@@ -87,10 +87,12 @@ def mark_blind(state: DataFrame, s: Schedule, ego_mm: tuple[int, int]) -> DataFr
 def fold(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     """State of each cell (ring, ix, iy) after all frames of a scatter result.
 
-    The state leaves the fold through a generator: no filter on a field of it goes below, where it would fold once more.
+    The state leaves the fold through a generator: no filter on a field of it goes below, where it would fold once more. The
+    fold is heavy for its few bytes, so its shuffle has as many parts as the session says and isn't coalesced by size.
     """
     key = key or ["ring", "ix", "iy"]
-    seen = cells.groupBy(*key).agg(F.array_sort(F.collect_list(observation())).alias("obs"), F.max("frame").alias("last_frame"))
+    n = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seen = cells.repartition(n, *key).groupBy(*key).agg(F.array_sort(F.collect_list(observation())).alias("obs"), F.max("frame").alias("last_frame"))
     return seen.select(*key, "last_frame", F.inline(F.array(F.aggregate("obs", F.expr(EMPTY), step))))
 
 

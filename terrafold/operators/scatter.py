@@ -18,9 +18,17 @@ KEY = ["frame", "ring", "ix", "iy"]
 
 
 def bin_points(points: DataFrame, s: Schedule) -> DataFrame:
-    """points with (ring, ix, iy): the ring from the vehicle frame, the cell from the world frame; points outside go (LAT8)."""
-    p = points.withColumn("ring", L.ring_of_mm(F.col("xv_mm"), F.col("yv_mm"), s)).filter("ring IS NOT NULL")
-    return p.withColumn("ix", L.index(F.col("xw_mm"), F.col("ring"), s)).withColumn("iy", L.index(F.col("yw_mm"), F.col("ring"), s))
+    """points with (ring, ix, iy): the ring from the vehicle frame, the cell from the world frame; points outside and points
+    without a coordinate go (LAT8).
+
+    The keys can't be null, so joins on them push no check down into the scan, where it would compute them once more.
+    """
+    p = points.drop("ring").filter(F.col("xw_mm").isNotNull() & F.col("yw_mm").isNotNull())
+    # out of a generator, so that what uses the ring doesn't hold its whole expression each time
+    ring = F.coalesce(L.ring_of_mm(F.col("xv_mm"), F.col("yv_mm"), s), F.lit(-1))
+    p = p.select("*", F.explode(F.array(ring)).alias("ring")).filter("ring >= 0")
+    key = lambda c: F.coalesce(L.index(F.col(c), F.col("ring"), s), F.lit(0).cast("bigint"))
+    return p.withColumns({"ix": key("xw_mm"), "iy": key("yw_mm")})
 
 
 def in_windows(binned: DataFrame, windows: DataFrame) -> DataFrame:
