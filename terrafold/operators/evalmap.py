@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.config import THRESHOLDS as T
 from terrafold.config import Schedule
-from terrafold.operators.fold import occupancy
+from terrafold.functions import lattice as L
+from terrafold.operators.fold import fold, occupancy
+from terrafold.operators.scatter import bin_points, scatter
 
 
 def reference(points: DataFrame, cell_mm: int = 50) -> DataFrame:
@@ -18,12 +22,12 @@ def reference(points: DataFrame, cell_mm: int = 50) -> DataFrame:
     return per.groupBy("i", "j").agg(F.sum("sz").alias("sz"), F.sum("n").alias("n"), F.coalesce(first, F.lit(0)).alias("cls"))
 
 
-def blocks(ref: DataFrame, s: Schedule) -> DataFrame:
+def blocks(ref: DataFrame, s: Schedule, fine_mm: int = 50) -> DataFrame:
     """For each ring's cell: fine cells seen, their mean and variance, most common class, lowest on ties (AGG9, AGG10).
 
     Cells of all rings are aligned to the fine lattice, so a block is an equi-key, floor(i / k), not a range.
     """
-    ks = F.array(*(F.struct(F.lit(r.ring).alias("ring"), F.lit(s.k(r.ring)).alias("k")) for r in s.rings))
+    ks = F.array(*(F.struct(F.lit(r.ring).alias("ring"), F.lit(L.mm(r.cell_m) // fine_mm).alias("k")) for r in s.rings))
     b = ref.withColumn("mean_cm", F.col("sz") / F.col("n")).withColumn("r", F.explode(ks))
     b = b.select(F.col("r.ring").alias("ring"), F.floor(F.col("i") / F.col("r.k")).alias("ix"), F.floor(F.col("j") / F.col("r.k")).alias("iy"), "mean_cm", "cls")
     by_class = b.groupBy("ring", "ix", "iy", "cls").agg(F.count("*").alias("n"), F.sum("mean_cm").alias("s1"), F.sum(F.col("mean_cm") * F.col("mean_cm")).alias("s2"))
@@ -39,12 +43,12 @@ def compared(state: DataFrame, block: DataFrame) -> DataFrame:
     return state.filter(ok).join(block, ["ring", "ix", "iy"]).withColumn("err", F.col("mu") - F.col("mean_ref"))
 
 
-def scores(scored: DataFrame, s: Schedule) -> DataFrame:
+def scores(scored: DataFrame, s: Schedule, fine_mm: int = 50) -> DataFrame:
     """Per ring: RMSE, loss and its ratio to the spread of the terrain, bias, coverage (AGG15, AGG16, AGG19)."""
     usable = F.when(F.col("n_ref") > 1, 1)
     e2 = F.col("err") * F.col("err")
     rms = lambda c: F.sqrt(F.avg(c))
-    k = F.get(F.array(*(F.lit(s.k(r.ring)) for r in s.rings)), F.col("ring"))
+    k = F.get(F.array(*(F.lit(L.mm(r.cell_m) // fine_mm) for r in s.rings)), F.col("ring"))
     g = scored.groupBy("ring").agg(
         F.count("*").alias("cells"), rms(e2).alias("rmse_cm"), rms(usable * (e2 + F.col("var_ref"))).alias("il_cm"), rms(usable * F.col("var_ref")).alias("spread_cm"),
         F.avg(usable * F.col("err")).alias("bias_cm"), F.avg(usable * (F.col("err") > 0).cast("int")).alias("above"), F.count(usable).alias("usable"),
@@ -53,6 +57,25 @@ def scores(scored: DataFrame, s: Schedule) -> DataFrame:
     return g.withColumn("rho", F.when(F.col("spread_cm") > 1e-9, F.col("il_cm") / F.col("spread_cm")))
 
 
+def evaluate(points: DataFrame, s: Schedule, ref: DataFrame | None = None) -> DataFrame:
+    """Scores per ring of the map that a schedule makes of points (QRY17)."""
+    state = fold(scatter(bin_points(points, s)))
+    return scores(compared(state, blocks(reference(points) if ref is None else ref, s)), s).withColumn("schedule", F.lit(s.name))
+
+
+def compare(points: DataFrame, schedules: list[Schedule]) -> DataFrame:
+    """The scores of several schedules over the same points and reference, one under the other (QRY17)."""
+    ref = reference(points)
+    return reduce(DataFrame.unionByName, (evaluate(points, s, ref) for s in schedules))
+
+
+def summary(compared_scores: DataFrame, mb: dict[str, float]) -> DataFrame:
+    """One row a schedule: memory, worst ring, mean coarsening ratio of the rings that have one (AGG31)."""
+    of = F.create_map(*(F.lit(v) for k, m in mb.items() for v in (k, float(m))))
+    g = compared_scores.groupBy("schedule").agg(F.max("rmse_cm").alias("worst_rmse_cm"), F.avg("rho").alias("mean_rho"))
+    return g.withColumn("mb", F.try_element_at(of, F.col("schedule")))
+
+
 def overlap(state: DataFrame, block: DataFrame) -> DataFrame:
     """Occupied cells against seen blocks per ring: both, either, their ratio, share of blocks seen (AGG17, AGG18)."""
     j = state.select("ring", "ix", "iy", "n", occupancy(F.col("n"), F.col("odds")).alias("occ")).join(block.select("ring", "ix", "iy", "n_ref"), ["ring", "ix", "iy"], "full")

@@ -193,3 +193,29 @@ def agg30_step_counters(spark, sf_dir):
     seen_points = points(spark, sf_dir).filter("frame = 6").agg(F.count("*").alias("points"))
     of = b.agg(F.count("*").alias("binned"), F.count_distinct("ring", "ix", "iy").alias("touched"), F.count_if(scatter.moving(F.col("raw_label"))).alias("moving"))
     return seen_points.crossJoin(of).crossJoin(cleaned)  # one row each
+
+
+@register()
+def qry17_compare(spark, sf_dir):
+    """Errors of both schedules and of a uniform one over the same points, with their memory (QRY17, AGG31)."""
+    schedules = [S, C.load("5_10_50"), C.uniform(0.2)]
+    e = evalmap.compare(points(spark, sf_dir), schedules)
+    out = evalmap.summary(e, {s.name: round(s.total_cells * 12 / 1e6, 2) for s in schedules})
+    return out.withColumns({c: F.round(c, 4) for c in ("worst_rmse_cm", "mean_rho")})
+
+
+@register(f"""WITH {O.FOLD}{O.PROBES},
+q AS (SELECT *, CASE WHEN m < 10000 THEN 0 WHEN m < 25000 THEN 1 WHEN m < 50000 THEN 2 WHEN m < 100000 THEN 3 END AS ring FROM (SELECT *, greatest(abs(x_mm - ego_x_mm), abs(y_mm - ego_y_mm)) AS m FROM probes)),
+k AS (SELECT *, CAST(floor(x_mm / (50.0 * power(2, ring))) AS BIGINT) AS ix, CAST(floor(y_mm / (50.0 * power(2, ring))) AS BIGINT) AS iy,
+  CAST(floor(x_mm / (25.0 * power(2, ring))) AS BIGINT) AS fx, CAST(floor(y_mm / (25.0 * power(2, ring))) AS BIGINT) AS fy FROM q)
+SELECT query_id, k.ring AS ring, CAST(CASE WHEN s.ring >= 1 AND (s.ix + s.iy) % 7 = 0 THEN s.mu + 10 * ((fy % 2 + 2) % 2 * 2 + (fx % 2 + 2) % 2) ELSE s.mu END AS INT) AS ground_cm
+FROM k LEFT JOIN state s ON s.ring = k.ring AND s.ix = k.ix AND s.iy = k.iy""")
+def qry02_refined(spark, sf_dir):
+    """Lookups that go on to a refined cell's child (QRY2, JN11); every seventh cell has children, 10 cm apart."""
+    from terrafold.operators import query
+    from terrafold.plans.registry import probes
+
+    s = state(spark, sf_dir)
+    kids = s.filter((F.col("ring") >= 1) & ((F.col("ix") + F.col("iy")) % 7 == 0)).select("ring", "ix", "iy", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("child"), "mu")
+    kids = kids.withColumn("mu", F.col("mu") + 10 * F.col("child"))
+    return query.lookup(probes(spark, sf_dir), s, S, None, kids).select("query_id", "ring", "ground_cm")

@@ -124,6 +124,29 @@ def src13_terrain(spark, sf_dir):
     return m.select("frame", "point_id", F.round(synthetic.height(F.col("x"), F.col("y")), 6).alias("height_m"), synthetic.raw_class(F.col("y")).alias("raw"))
 
 
+def _u(i: str, stream: int) -> str:
+    return f"((({i}) * CAST({synthetic.STREAMS[stream]} AS BIGINT) + {(stream + 1) * 40503} * (seed + 1)) % 4294967296) / 4294967296e0"
+
+
+def _in(i: str, k: int, lo: float, hi: float) -> str:
+    return f"({d(lo)} + ({d(hi)} - {d(lo)}) * ({_u(i, k)}))"
+
+
+_sides = [f"SELECT {raw} AS raw_label, seed, i AS solid_id, {_in('i', 0, *x)} AS x, {'CASE WHEN ' + _u('i', 3) + ' < 0.5 THEN -1e0 ELSE 1e0 END * ' if two else ''}{_in('i', 1, *y)} AS y, {_in('i', 2, *z)} AS z FROM (SELECT unnest(range(0, {n})) AS i) t, sd" for raw, n, x, y, z, two in synthetic.SOLIDS]
+_half = lambda k, half: f"(2 * ({_u('i', k)}) - 1) * {d(half)}"
+
+
+@register(f"""WITH sd AS (SELECT unnest(range(0, 3)) AS seed), st AS ({' UNION ALL '.join(_sides)} UNION ALL
+SELECT {synthetic.PERSON}, seed, i, {_in('i // 24', 4, *synthetic.CROWD_X)} + {_half(0, 0.25)}, {_in('i // 24', 5, *synthetic.CROWD_Y)} + {_half(1, 0.25)}, 1.8e0 * ({_u('i', 2)}) FROM (SELECT unnest(range(0, 1200)) AS i) t, sd),
+fv AS (SELECT * FROM st WHERE degrees(atan2(z - CAST('1.73' AS DOUBLE), sqrt(x * x + y * y))) BETWEEN CAST('-24.8' AS DOUBLE) AND 2e0 AND sqrt(x * x + y * y) > 1e0
+ UNION ALL SELECT {synthetic.CAR}, seed, i, 12e0 + 0.5e0 * seed + {_half(0, 2.0)}, {_half(1, 1.0)}, 1.5e0 * ({_u('i', 2)}) FROM (SELECT unnest(range(0, 400)) AS i) t, sd)
+SELECT CAST(seed AS INT) AS frame, raw_label, solid_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM fv""")
+def src12_solids(spark, sf_dir):
+    """Facades, poles, signs, trees, fifty people and a car in three frames of the scene (SRC12)."""
+    three = [synthetic.solids(spark, f, f, crowd=50, car=True) for f in range(3)]
+    return three[0].union(three[1]).union(three[2]).withColumns({c: F.round(c, 6) for c in "xyz"})
+
+
 @register()
 def src12_sweep(spark, sf_dir):
     """A sweep over the analytic scene (SRC12); hits lie on the ground along their beams, as the tests check."""

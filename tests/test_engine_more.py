@@ -128,3 +128,23 @@ def test_frame_loop_like_the_plain_version(spark, tmp_path):
         cleared[f] = (len(cells), n)
     assert got == want
     assert {c["frame"]: (c["occupied"], c["cleared"]) for c in counters} == cleared and sum(n for _, n in cleared.values()) > 0
+
+
+def test_compared_schedules(spark):
+    from terrafold.plans.registry import QUERIES
+
+    p = points(spark, SF)
+    e = evalmap.compare(p, [S, C.uniform(0.2)]).collect()
+    want = {r.ring: r for r in QUERIES["agg15_scores"](spark, SF).collect()}
+    mine = {r.ring: r for r in e if r.schedule == S.name}
+    assert mine.keys() == want.keys() and all(mine[r].cells == want[r].cells and mine[r].rmse_cm == pytest.approx(want[r].rmse_cm, abs=1e-4) for r in want)
+    # a uniform map by hand: cells of 20 cm over all frames, against the mean of the 5 cm cells in them
+    one = [r for r in e if r.schedule != S.name]
+    state = {(r.ix, r.iy): r for r in fold.fold(scatter.scatter(scatter.bin_points(p, C.uniform(0.2)))).collect()}
+    fine = {}
+    for r in evalmap.reference(p).collect():
+        fine.setdefault((r.i // 4, r.j // 4), []).append(r.sz / r.n)
+    err = [s.mu - np.mean(fine[k]) for k, s in state.items() if s.n > 0 and s.code > 0 and -200 < s.mu < 600]
+    assert len(one) == 1 and one[0].cells == len(err) and one[0].rmse_cm == pytest.approx(np.sqrt(np.mean(np.square(err))))
+    rows = {r.schedule: r for r in QUERIES["qry17_compare"](spark, SF).collect()}
+    assert rows[S.name].mb == 8.94 and rows[S.name].worst_rmse_cm == pytest.approx(max(r.rmse_cm for r in want.values()), abs=1e-4) and len(rows) == 3
