@@ -54,33 +54,18 @@ BUCKETS, LONG_RUN, AT_ONCE = 256, 64, 1 << 20
 #: Open documents whose shingles give the global order; shingles that count as common there, at most.
 SAMPLE_ROWS, COMMON = 4000, 100_000
 #: Documents of a block of a common shingle, about; blocks at most (more only make blocks larger).
-BLOCK_ROWS, MOST_BLOCKS = 2000, 64
+BLOCK_ROWS, MOST_BLOCKS = 500, 64
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SKETCH = "doc_id bigint, n_shingles bigint, set binary, keys array<binary>"
 SWEPT = "kind string, a bigint, b bigint, key binary"
 
 
-class _Words(dict):
-    """Hash of each word met so far; a bounded memory."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _hash():
-    return _Words().__getitem__
-
-
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     ws = text.encode("utf-8", "replace").lower().split() if text else []
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hash(), ws), np.uint64, len(ws))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
     k = min(k, len(ws))
     s = np.full(len(ws) - k + 1, k, np.uint64)
     for j in range(k):

@@ -531,7 +531,7 @@ def test_op2_finds_links_in_a_hot_region(spark):
     assert {i: x["component_id"] for i, x in got.items()} == want
 
 
-@pytest.mark.parametrize("blocks", [2000, 7])
+@pytest.mark.parametrize("blocks", [500, 7])
 def test_op2_exact_pass_finds_all_alone(spark, monkeypatch, blocks):
     monkeypatch.setattr(neardup, "LONG_RUN", 2)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", blocks)
