@@ -7,8 +7,8 @@ The library ranks pairs rather than joined tokens: pairs that join to one token
 as long as two such pairs don't overlap: XY = YZ for adjacent X, Y, Z. The strings XYZ for which that can happen are
 listed when a codec is built; a match that holds one goes by the merge rule itself.
 
-Edge cases: null counts as the empty text and has no ids; texts of any length are encoded whole, a batch of them a few MB
-at a time; repeated rows and null ids give equal results; of pairs with one rank the leftmost is joined; a character split
+Edge cases: null counts as the empty text and has no ids; texts of any length are encoded whole, some of a batch at a
+time; repeated rows and null ids give equal results; of pairs with one rank the leftmost is joined; a character split
 over several tokens is decoded from its bytes; an id outside the table is an error; other columns than doc_id and text are
 ignored; an empty table gives an empty result.
 """
@@ -29,9 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.common import small_batches
+
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 #: Distinct matches whose ids a worker remembers (about 250 bytes each); beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: New matches given to the library at a time; characters of text split at a time, about.
+TOGETHER, BLOCK = 16384, 1 << 20
 #: For texts of characters below U+0250 only, the usual pattern with its classes written out, as the re module is faster.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,14 +110,16 @@ class Codec:
         return tuple(self.ranks[piece[i : end[i]]] for i in range(n) if not gone[i])
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids of matches not met before, as one batch of the library."""
-        mapped = [p.encode("utf-8").decode("latin-1").translate(self.chars) for p in pieces]
+        """Ids of matches not met before, in batches of the library, whose results are large."""
         unsure = len(self.overlaps) > 0
-        for p, m, e in zip(pieces, mapped, self.model.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if unsure and len(ids) > 1 and next(self.overlaps.iter(m), None):
-                ids = self.by_rule(p.encode("utf-8"))
-            self.known[p] = np.array(ids, "<u4").tobytes()
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            mapped = [p.encode("utf-8").decode("latin-1").translate(self.chars) for p in some]
+            for p, m, e in zip(some, mapped, self.model.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+                ids = e.ids
+                if unsure and len(ids) > 1 and next(self.overlaps.iter(m), None):
+                    ids = self.by_rule(p.encode("utf-8"))
+                self.known[p] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, unsigned 32-bit."""
@@ -161,8 +167,8 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 22) -> Iterator[list[str]]:
-    """The texts of a batch, a few MB at a time."""
+def _blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
+    """The texts of a batch, some at a time."""
     block, n = [], 0
     for t in texts:
         block.append(t.as_py() or "")
@@ -223,4 +229,5 @@ def digests(text: Column, path: str | None = None, pattern: str | None = None) -
 
 def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", digests(F.col("text"), path).alias("d")).select("doc_id", "d.*")
