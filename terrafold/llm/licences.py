@@ -9,19 +9,25 @@ Known passages of licence texts (PASSAGES, and long sentences) are found first,
 words: line breaks, blank lines, comment marks. Each is put on a line of its own, so the cut gives it as one sentence. A
 sentence that begins with one of the usual openings (OPENING) and goes on with a licence's name (NAMES) is known too.
 
-Only texts that GATE finds are cut; every known sentence holds one of STEMS (asserted on import), so none is missed.
+Only texts with one of STEM_PARTS (its first word) or an opening are cut; every known sentence holds one (asserted on import),
+so none is missed.
 
-Edge cases: null and empty texts have no sentences; repeated rows are judged alike; extra columns are ignored; an empty
-table gives an empty result.
+Edge cases: null and empty texts have no sentences; null ids and repeated rows are judged alike; texts of any length are read
+whole; a part that two rules could take goes to the first of them; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.common import let
+
 #: Known sentences, normalised, by identifier.
 SENTENCES = {
     "mit_ref": "released under the mit license",
@@ -123,10 +129,12 @@ BSD_RULES = [
     ("BSD-2-Clause", ["bsd_redistribute", "bsd_source", "bsd_binary"]),
 ]
 ALL_RULES = [*RULES[:-2], *BSD_RULES, *RULES[-2:], *MORE_RULES]
-STEMS = "licen[sc]e|copyright|permission|redistribut|unencumbered|creative commons|cc0"
+#: Parts of words, one of which every known sentence holds; the advertising clause only counts after bsd_redistribute.
+STEM_PARTS = ["license", "licence", "copyright", "permission", "redistribut", "unencumbered", "creative commons", "cc0"]
+STEMS = "|".join(STEM_PARTS)
 CUT = r"[.!?]+(?=\s|$)|\n(?![a-z])"
-#: A text that has none of these is not cut; the advertising clause only counts after bsd_redistribute.
-GATE = rf"(?i){STEMS}|(?:released|distributed|published|provided|available)\s+under"
+#: What else an opening may have; it's looked for only where "under" occurs.
+OPENED = r"(?i)(?:released|distributed|published|provided|available)\s+under"
 assert all(re.search(STEMS, s) for s in [*SENTENCES.values(), *(p for i, p in PASSAGES.items() if i != "bsd_advertise")])
 _plain = {i: " ".join(p.replace("*", " ").split()) for i, p in PASSAGES.items()}
 _known_ids = {s: i for i, s in [*_plain.items(), *SENTENCES.items()]}
@@ -145,8 +153,10 @@ def identifiers(text: Column) -> Column:
     lower = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = lambda x: F.btrim(F.regexp_replace(lower(x), "[^a-z0-9]+", " "))
     lined = F.regexp_replace(text, r"(?i)(SPDX-License-Identifier:[^\n]*)", "\n# $1\n#")
-    for i, p in PASSAGES.items():
-        lined = F.regexp_replace(lined, _passage(p), f"\n# {_plain[i]}\n#")
+    # a passage is searched for only where its longest word occurs
+    known = F.array(*(F.struct(F.lit(max(p.split(), key=len)).alias("word"), F.lit(_passage(p)).alias("p"), F.lit(f"\n# {_plain[i]}\n#").alias("to")) for i, p in PASSAGES.items()))
+    found = lambda low: F.aggregate(known, lined, lambda t, p: F.when(F.contains(low, p["word"]), F.regexp_replace(t, p["p"], p["to"])).otherwise(t))
+    lined = let(F.lower(text), found)
 
     def find(known: dict[str, str], x: Column) -> Column:
         at = F.array_position(F.array(*map(F.lit, known)), x)
@@ -155,7 +165,8 @@ def identifiers(text: Column) -> Column:
     cut = F.filter(F.transform(F.split(lined, CUT), norm), lambda x: x != "")
     name = lambda x: F.when(x.rlike(OPENING), find(_name_ids, F.regexp_replace(x, OPENING, "")))
     got = F.transform(cut, lambda x: F.coalesce(find(_known_ids, x), name(x), F.lit("-")))
-    return F.when(text.rlike(GATE), got).otherwise(F.array().cast("array<string>"))
+    gate = let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in [x.split()[0] for x in STEM_PARTS])) | (F.contains(low, F.lit("under")) & text.rlike(OPENED)))
+    return F.when(gate, got).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
