@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; ids that may be broadcast; tasks over which the rows of one key are dealt; small rows of a file.
 BATCH_ROWS, MOST_IDS, SALTS, ROWS_PER_TASK = 1000, 2_000_000, 64, 500_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: For tables of our own on a file: path (other stores don't look at it): no checksum file beside each file, for which a
-#: process would be forked to set its mode.
+#: For tables of our own on a file: path (other stores don't look at it): no checksum file beside each file, which without
+#: Hadoop's native library costs a forked process more.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _own: list[str] = []

@@ -28,7 +28,7 @@ BITS, ORDERS, ALPHA, ROWS_PER_LANG = 15, (1, 2, 3), 0.5, 1500
 #: Languages in a block: a matrix of 2**BITS x LANGS x 4 bytes at most (33 MB).
 LANGS = 256
 #: Characters and texts turned into counts at a time.
-BLOCK, TOGETHER = 1 << 18, 64
+BLOCK, TOGETHER = 1 << 18, 32
 RESULT = "struct<lang_pred:string,score:double>"
 
 

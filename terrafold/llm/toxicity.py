@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import crc_mod, near_share, small_batches
+from terrafold.llm.common import crc_mod, drop, keep, near_share, small_batches
 
 #: Labelled rows learned from per class, about; strength of the prior as a share of the tokens; least count of a feature;
 #: fall per token; standard deviations taken off.
@@ -159,7 +159,7 @@ def odds(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """The model learned from a bounded sample of labelled documents; features with their counts come to the driver."""
-    rows = sample(docs, labels, rows_per_class)
+    rows = keep(sample(docs, labels, rows_per_class), "labelled")  # the documents are read once for it
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,9 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     feats = word.select(F.explode(F.array_compact(F.array("w", *prefixes))).alias("f"), "n0", "n1").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     m = Model(odds({r.f: (float(r.n0), float(r.n1)) for r in feats.filter(F.col("n0") + F.col("n1") >= LEAST).toLocalIterator()}))
     if not m.odds:
+        drop(rows)
         return Model()
     found = rows.select("y", scan(rows.sparkSession, m, F.col("text"), all_segments=True).alias("h")).select("y", "h.n_words", F.transform("h.segments", lambda x: x["s"]).alias("s"))
-    return calibrate(m, [(r.y, r.n_words, r.s) for r in found.toLocalIterator()])
+    m = calibrate(m, [(r.y, r.n_words, r.s) for r in found.toLocalIterator()])
+    drop(rows)
+    return m
 
 
 def calibrate(m: Model, seen: list[tuple[int, int, list[float]]]) -> Model:
