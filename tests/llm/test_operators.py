@@ -433,6 +433,38 @@ def test_op9_tells_held_out_languages(spark, empty):
     assert [x["lang_pred"] for x in rows_of(langid.op9(spark, unlabelled))] == ["und"]
 
 
+def test_op8_blocks_and_forgetting_change_nothing(monkeypatch):
+    import pyarrow as pa
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    r = random.Random(13)
+    some = ["".join(r.choice("abcdeé日 \n.,1'") for _ in range(r.randrange(120))) for _ in range(80)] + ["the quick (brown) fox's 12 dogs " * 30_000]
+    assert [t for b in bpe._blocks(pa.array([*some, None]), 300) for t in b] == [*some, ""]
+    c = bpe.Codec(bpe.default_path(), bpe.default_pattern())
+    enc = tiktoken.Encoding("plain", pat_str=bpe.default_pattern(), mergeable_ranks=c.ranks, special_tokens={})
+    for block in bpe._blocks(pa.array(some), 300):
+        for t, ids in zip(block, c.encode(block), strict=True):
+            assert ids.tolist() == enc.encode_ordinary(t) and c.decode(ids) == t
+
+
+def test_op8_merge_rule_on_long_matches():
+    import time
+
+    import tiktoken
+
+    c = bpe.codec(bpe.default_path(), bpe.default_pattern())
+    enc = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(14)
+    for _ in range(200):
+        t = "".join(r.choice("aaabthe é日 ") for _ in range(r.randrange(1, 200)))
+        assert list(c.by_rule(t.encode())) == enc.encode_ordinary(t)
+    began = time.process_time()
+    assert c.decode(c.by_rule(b"ab" * 50_000)) == "ab" * 50_000
+    assert time.process_time() - began < 10  # it grew with the square of the length
+
+
 def grams(t):
     """n-grams of a text by their characters; runs of other characters than letters count as one space."""
     t = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {t.lower()} "))
