@@ -177,6 +177,21 @@ def agg13_instances(spark, sf_dir):
     return tracks.instances(projected(spark, sf_dir).filter(moving(F.col("raw_label"))).select("frame", "v", "u", "r", "x", "y", "z"))
 
 
+def scene_pixels(spark):
+    """Moving pixels of three frames of the scene: fifty people and a car."""
+    from terrafold.sources import synthetic
+
+    p = [synthetic.solids(spark, f, f, crowd=50, car=True) for f in range(3)]
+    p = p[0].union(p[1]).union(p[2]).withColumns({"z": F.col("z") - C.THRESHOLDS["sensor_height_m"], "point_id": F.col("raw_label") * 1_000_000 + F.col("solid_id")})
+    return image.project(p, ["x", "y", "z", "raw_label"]).filter(moving(F.col("raw_label"))).select("frame", "v", "u", "r", "x", "y", "z")
+
+
+@register()
+def agg13_scene(spark, sf_dir):
+    """People and the car of the scene as instances (AGG13, SRT3); the tables' points have no such neighbours."""
+    return tracks.instances(scene_pixels(spark))
+
+
 #: Points are dealt to so many sequences by their reflectivity.
 SEQUENCES = 16
 

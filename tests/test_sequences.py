@@ -222,6 +222,12 @@ def test_instance_query_like_the_plain_version(spark):
     for x in rows:
         images[x.frame][x.v, x.u] = (x.r, x.x, x.y, x.z)
     close(queries_image.agg13_instances(spark, SF).collect(), [(f, *x) for f, p in images.items() for x in plain_instances(p)])
+    images = collections.defaultdict(dict)
+    for x in queries_image.scene_pixels(spark).collect():
+        images[x.frame][x.v, x.u] = (x.r, x.x, x.y, x.z)
+    got = queries_image.agg13_scene(spark, SF).collect()
+    close(got, [(f, *x) for f, p in images.items() for x in plain_instances(p)])
+    assert len(got) > 20
 
 
 # paths ----------------------------------------------------------------------------------------------------------------
