@@ -136,6 +136,37 @@ def test_op2_components(spark, docs, empty):
     assert neardup.op2(empty).count() == 0
 
 
+def test_op2_shuffles_where_ids_are_many(spark, monkeypatch):
+    from terrafold.llm import common
+
+    monkeypatch.setattr(common, "MOST_IDS", 0)
+    r = random.Random(21)
+    base = [[f"g{g}w{r.randrange(300)}" for _ in range(60)] for g in range(4)]
+    rows = [(i, " ".join(w if r.random() > 0.01 else f"n{r.randrange(10**6)}" for w in base[i % 4])) for i in range(40)] + [(50, None), (51, "")]
+    _, comp = components(rows)
+    assert {i: x["component_id"] for i, x in by_id(neardup.op2(frame(spark, rows))).items()} == comp
+    assert sorted(x.doc_id for x in neardup.first_of_each(frame(spark, rows)).collect()) == sorted(i for i, c in comp.items() if i == c)
+
+
+def test_scratch_folders_must_be_shared():
+    from unittest.mock import MagicMock
+
+    from terrafold.llm import common
+
+    cluster = MagicMock()
+    cluster.conf.get.return_value = None
+    cluster.sparkContext.master = "spark://host:7077"
+    cluster.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value.isDefined.return_value = False
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster, "x")
+    cluster.conf.get.return_value = "hdfs:///shared/"
+    assert common.shared_dir(cluster, "x").startswith("hdfs:///shared/x-")
+    cluster.conf.get.return_value = None
+    there = cluster.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value
+    there.isDefined.return_value, there.get.return_value = True, "s3a://b/c"
+    assert common.shared_dir(cluster, "x").startswith("s3a://b/c/x-")
+
+
 def test_op2_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(50))
     got = rows_of(neardup.op2(frame(spark, [(None, t), (7, t), (None, None), (9, None)])))
