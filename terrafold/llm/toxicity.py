@@ -172,12 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     word = word.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
     prefixes = [F.when(F.length("w") >= k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES]
     feats = word.select(F.explode(F.array_compact(F.array("w", *prefixes))).alias("f"), "n0", "n1").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    m = Model(odds({r.f: (float(r.n0), float(r.n1)) for r in feats.filter(F.col("n0") + F.col("n1") >= LEAST).toLocalIterator()}))
+    m = Model(odds({r.f: (float(r.n0), float(r.n1)) for r in feats.filter(F.col("n0") + F.col("n1") >= LEAST).collect()}))
     if not m.odds:
         drop(rows)
         return Model()
     found = rows.select("y", scan(rows.sparkSession, m, F.col("text"), all_segments=True).alias("h")).select("y", "h.n_words", F.transform("h.segments", lambda x: x["s"]).alias("s"))
-    m = calibrate(m, [(r.y, r.n_words, r.s) for r in found.toLocalIterator()])
+    m = calibrate(m, [(r.y, r.n_words, r.s) for r in found.collect()])
     drop(rows)
     return m
 
