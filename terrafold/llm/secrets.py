@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import PLAIN_FILES, shared_dir, spread_join, unused
+from terrafold.llm.common import PLAIN_FILES, ROWS_PER_TASK, shared_dir, spread_join, unused
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,8 @@ def scan(versions: DataFrame, ledger: str, rules: list[Rule] = RULES, id_col: st
     rows = v.join(reps.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b")))
     by_rule = [F.when(F.array_contains("todo", r.id), spans(F.col("t"), r, k)).otherwise(F.expr(f"CAST(array() AS {SPANS})")) for k, r in enumerate(rules)]
     fresh = rows.select("blob", F.col("todo").alias("rules"), F.concat(*by_rule).alias("spans"))
-    fresh.write.mode("append").options(**PLAIN_FILES).parquet(ledger)
+    # findings are small rows, so the ledger grows by few files, however many tasks have scanned
+    fresh.repartition(-(-versions.count() // ROWS_PER_TASK) or 1).write.mode("append").options(**PLAIN_FILES).parquet(ledger)
     known = read_ledger(spark, ledger).filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("x"))
     known = known.filter(F.col("x.rule").isin([r.id for r in rules])).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
     out = spread_join(v.select("id", "blob"), known, "blob", "id")
